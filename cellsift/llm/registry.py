@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from cellsift.llm import bpe, langid, shards
+from cellsift.llm import bpe, langid, ngram_join, shards
 
-MODULES = [shards, langid, bpe]
+MODULES = [ngram_join, langid, shards, bpe]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
