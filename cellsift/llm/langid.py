@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsift.llm.common import buffers, spans, table, written
+from cellsift.llm.sample import fold
 
 ORDERS = (1, 2, 3)
 #: N-grams of a document's and of a language's profile.
@@ -195,9 +196,6 @@ def identify(df: DataFrame, profiles: list[tuple[str, np.ndarray]], text: str =
     return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def fold(key: str, n: int):
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
-
 
 def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")

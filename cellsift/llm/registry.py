@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from cellsift.llm import bpe, density, langid, ngram_join, shards, warc
+from cellsift.llm import bpe, density, langid, ngram_join, shards, toxicity, warc
 
-MODULES = [ngram_join, warc, langid, shards, density, bpe]
+MODULES = [ngram_join, toxicity, warc, langid, shards, density, bpe]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
