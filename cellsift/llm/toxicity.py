@@ -1,12 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (operator 2), written and trained in numpy.
 
 Inputs: for each word a hashed word vector, the mean of the vectors of its hashed character n-grams, and the log odds of
-word and n-grams in the training rows. Two gated recurrent layers read a window of WINDOW words forwards and backwards,
+word and n-grams in the training rows; while training, a document's own count is left out of them. Two gated recurrent layers read a window of WINDOW words forwards and backwards,
 attention pools their states, and a logistic unit gives the window's logit. A document's windows overlap by half; all are
 scored, over the whole text, and the largest logit is calibrated to the document's score.
 
 Training: at most PER_CLASS labelled documents of each class (a documented bound). A toxic document teaches by the
-window that holds its most telling word, a clean one by its most suspicious window and one other.
+window that holds its most telling word, a clean one by its most suspicious windows and one other; then the network
+chooses those windows itself and learns once more. Rows of the tables with few training documents stay zero.
 
 Cases: a null or empty text, or one without letters, is scored as an empty window; without training rows of both classes
 the score is the share of toxic ones (0 if there are none); repeated rows get equal scores; an empty table gives an empty
@@ -30,7 +31,7 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 15, 1 << 16, (3, 5)
 WORD_DIM, GRAM_DIM, EXTRA, HIDDEN, ATTEND = 6, 6, 3, 8, 8
 INPUT = WORD_DIM + GRAM_DIM + EXTRA
-PER_CLASS, EPOCHS, BATCH, RATE = 3000, 6, 128, 0.05
+PER_CLASS, EPOCHS, BATCH, RATE, TABLE_RATE, SUPPORT = 2000, 3, 256, 0.05, 0.01, 5
 SPAN, AT_ONCE = 1 << 19, 2048
 
 
@@ -106,17 +107,18 @@ class Network:
         for side in ("f", "b"):
             self.p |= {"W" + side: f(INPUT, 3 * h), "c" + side: np.zeros(3 * h, np.float32), "U" + side: f(h, 3 * h)}
         self.p |= {"A": f(2 * h, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND), "o": f(2 * h), "k": np.zeros(1, np.float32)}
-        self.word_odds, self.gram_odds = np.zeros(WORD_ROWS, np.float32), np.zeros(GRAM_ROWS, np.float32)
-        self.slope, self.shift, self.constant = 1.0, 0.0, None
+        # Log odds by all training documents, and with one clean or one toxic document less.
+        self.word_odds, self.gram_odds = np.zeros((3, WORD_ROWS), np.float32), np.zeros((3, GRAM_ROWS), np.float32)
+        self.slope, self.shift, self.constant, self.known = 1.0, 0.0, None, {}
 
-    def inputs(self, words: Words) -> np.ndarray:
-        """Vectors of the distinct words."""
+    def inputs(self, words: Words, side: np.ndarray | int = 0) -> np.ndarray:
+        """Vectors of the distinct words. side: which log odds, 0 but for training documents."""
         if not len(words.row):
             return np.zeros((0, INPUT), np.float32)
         n = np.diff(np.append(words.gram_start, len(words.gram)))
         mean = np.add.reduceat(self.p["grams"][words.gram], words.gram_start) / n[:, None]
-        odds = self.gram_odds[words.gram]
-        extra = np.stack([self.word_odds[words.row], np.maximum.reduceat(odds, words.gram_start), np.add.reduceat(odds, words.gram_start) / n], 1)
+        odds = self.gram_odds[side, words.gram] if isinstance(side, int) else self.gram_odds[np.repeat(side, n), words.gram]
+        extra = np.stack([self.word_odds[side, words.row], np.maximum.reduceat(odds, words.gram_start), np.add.reduceat(odds, words.gram_start) / n], 1)
         return np.concatenate([self.p["words"][words.row], mean, extra], 1).astype(np.float32)
 
     def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
@@ -185,7 +187,7 @@ class Network:
             np.add.at(dinputs, index, dx @ p["W" + side].T)
         return g, dinputs[:-1]
 
-    def fit(self, words: Words, index: np.ndarray, target: np.ndarray, seed: int = 11) -> None:
+    def fit(self, words: Words, side: np.ndarray, index: np.ndarray, target: np.ndarray, seed: int = 11) -> None:
         rng, acc = np.random.default_rng(seed), {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
         share = target.mean()
         weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
@@ -203,7 +205,7 @@ class Network:
                 part.gram_start = np.cumsum(size) - size
                 part.gram_at = np.repeat(np.arange(len(used)), size)
                 part.gram = words.gram[np.repeat(words.gram_start[used] - part.gram_start, size) + np.arange(int(size.sum()))]
-                g, by_word = self.gradients(self.inputs(part), local, target[rows], weight[rows])
+                g, by_word = self.gradients(self.inputs(part, side[used]), local, target[rows], weight[rows])
                 for name, grad in g.items():
                     acc[name] += grad * grad
                     self.p[name] -= RATE * grad / np.sqrt(acc[name])
@@ -211,11 +213,14 @@ class Network:
                     rows_, inverse = np.unique(at, return_inverse=True)
                     total = np.zeros((len(rows_), grad.shape[1]), np.float32)
                     np.add.at(total, inverse.ravel(), grad)
+                    total *= self.known[name][rows_, None]
                     acc[name][rows_] += total * total
-                    self.p[name][rows_] -= RATE * total / np.sqrt(acc[name][rows_])
+                    self.p[name][rows_] -= TABLE_RATE * total / np.sqrt(acc[name][rows_])
 
-    def document_logits(self, column: pa.Array) -> np.ndarray:
-        """The largest logit of each text's windows."""
+    def document_logits(self, column: pa.Array, label: np.ndarray | None = None) -> np.ndarray:
+        """The largest logit of each text's windows. label: of training documents, each of which is then left out of its odds."""
+        if label is not None:
+            return np.array([self.window_logits(Words(*one), 1 + int(label[d])).max() for d, one in enumerate(single(column))], np.float32)
         data, offsets = buffers(column)
         out = np.full(len(column), -np.inf, np.float32)
         for i, j in spans(offsets, SPAN):
@@ -226,13 +231,23 @@ class Network:
                 np.maximum.at(out, i + text[a : a + AT_ONCE], self.logits(projected, index[a : a + AT_ONCE]))
         return out
 
+    def window_logits(self, words: Words, side: int) -> np.ndarray:
+        """Logits of one text's windows."""
+        projected, index = self.projected(self.inputs(words, side)), words.windows()[0]
+        return np.concatenate([self.logits(projected, index[a : a + AT_ONCE]) for a in range(0, len(index), AT_ONCE)])
+
     def score(self, column: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
         return sigmoid(self.document_logits(column).astype(np.float64) * self.slope + self.shift)
 
 
-def odds(on: np.ndarray, off: np.ndarray, n_on: int, n_off: int, strength: float = 4.0) -> np.ndarray:
+def single(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    data, offsets = buffers(column)
+    return ((data[offsets[d] : offsets[d + 1]], np.zeros(1, np.int64), 1) for d in range(len(column)))
+
+
+def odds(on: np.ndarray, off: np.ndarray, n_on: int, n_off: int, strength: float = 8.0) -> np.ndarray:
     """Smoothed log odds, from -1 to 1."""
     share = n_on / (n_on + n_off)
     return (np.clip(np.log((on + strength * share) / (off + strength * (1 - share)) * (n_off / n_on)), -4, 4) / 4).astype(np.float32)
@@ -254,24 +269,27 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["counts"])
 
 
-def teach(net: Network):
-    """Windows that teach, as the words' rows and n-grams."""
+def teach(net: Network, trained: bool):
+    """Windows that teach, as the words' rows and n-grams: those of the most telling words, or of the network's largest logits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            data, offsets = buffers(batch.column(2))
-            for d, (doc, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                w = Words(data[offsets[d] : offsets[d + 1]], np.zeros(1, np.int64), 1)
+            for doc, label, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), single(batch.column(2)), strict=True):
+                w = Words(*one)
                 index, _ = w.windows()
                 if not len(w.row):
                     continue
-                telling = net.word_odds[w.row] + np.maximum.reduceat(net.gram_odds[w.gram], w.gram_start)
-                value = np.where(index >= 0, telling[index], -9).max(1)
-                best = int(value.argmax())
-                chosen = [best] if label else sorted({best, int(mix(np.array([doc & (1 << 62) - 1], np.uint64))[0] % np.uint64(len(index)))})
+                if trained:
+                    value = net.window_logits(w, 1 + label)
+                else:
+                    telling = net.word_odds[1 + label, w.row] + np.maximum.reduceat(net.gram_odds[1 + label, w.gram], w.gram_start)
+                    value = np.where(index >= 0, telling[index], -9).max(1)
+                best = np.argsort(-value, kind="stable")[: 1 if label else 2].tolist()
+                if not label:
+                    best = sorted({*best, int(mix(np.array([doc & (1 << 62) - 1], np.uint64))[0] % np.uint64(len(index)))})
                 grams = np.split(w.gram, w.gram_start[1:])
-                for k in chosen:
+                for k in best:
                     own = [int(x) for x in index[k] if x >= 0]
                     rows.append((label, [int(w.row[x]) for x in own], [[int(y) for y in grams[x]] for x in own]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))], names=["label", "words", "grams"])
@@ -279,19 +297,19 @@ def teach(net: Network):
     return run
 
 
-def gathered(rows: list) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The windows of all rows over one table of distinct words."""
+def gathered(rows: list) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all rows over one table of distinct words, each under its label."""
     known: dict[tuple, int] = {}
     index = np.full((len(rows), WINDOW), -1)
     for k, r in enumerate(rows):
         for t, (w, g) in enumerate(zip(r.words, r.grams, strict=True)):
-            index[k, t] = known.setdefault((w, tuple(g)), len(known))
+            index[k, t] = known.setdefault((r.label, w, tuple(g)), len(known))
     words = object.__new__(Words)
-    words.row = np.array([w for w, _ in known], np.int64)
-    size = np.array([len(g) for _, g in known], np.int64)
-    words.gram = np.array([x for _, g in known for x in g], np.int64)
+    words.row = np.array([w for _, w, _ in known], np.int64)
+    size = np.array([len(g) for _, _, g in known], np.int64)
+    words.gram = np.array([x for _, _, g in known for x in g], np.int64)
     words.gram_start = np.cumsum(size) - size
-    return words, index, np.array([r.label for r in rows], np.float32)
+    return words, np.array([1 + label for label, _, _ in known], np.int64), index, np.array([r.label for r in rows], np.float32)
 
 
 def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -321,16 +339,26 @@ def train(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = P
     if not n_off or not n_on:
         net.constant = float(n_on > 0)
         return net
-    net.word_odds = odds(counts[1, :WORD_ROWS], counts[0, :WORD_ROWS], n_on, n_off)
-    net.gram_odds = odds(counts[1, WORD_ROWS:-1], counts[0, WORD_ROWS:-1], n_on, n_off)
-    seeded = rows.sparkSession.sparkContext.broadcast(net)
-    lessons = rows.select("doc_id", "label", "text").mapInArrow(lambda it: teach(seeded.value)(it), "label int, words array<int>, grams array<array<int>>").collect()
-    net.fit(*gathered(lessons))
-    fitted = rows.sparkSession.sparkContext.broadcast(net)
+    for name, part in (("words", counts[:, :WORD_ROWS]), ("grams", counts[:, WORD_ROWS:-1])):
+        off, on = part
+        three = np.stack([odds(on, off, n_on, n_off), odds(on, np.maximum(off - 1, 0), n_on, n_off), odds(np.maximum(on - 1, 0), off, n_on, n_off)])
+        net.known[name] = (on + off >= SUPPORT).astype(np.float32)
+        net.p[name] *= net.known[name][:, None]
+        if name == "words":
+            net.word_odds = three
+        else:
+            net.gram_odds = three
+    spark = rows.sparkSession
+    lessons: list = []
+    for trained in (False, True):
+        sent = spark.sparkContext.broadcast(net)
+        lessons += rows.select("doc_id", "label", "text").mapInArrow(lambda it, sent=sent, trained=trained: teach(sent.value, trained)(it), "label int, words array<int>, grams array<array<int>>").collect()
+        net.fit(*gathered(lessons))
+    sent = spark.sparkContext.broadcast(net)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fitted.value.document_logits(b.column(1)))], names=["label", "logit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.document_logits(b.column(1), np.array(b.column(0).to_pylist())))], names=["label", "logit"])
 
     seen = rows.select("label", "text").mapInArrow(logits, "label int, logit float").collect()
     logit, label = np.array([r.logit for r in seen]), np.array([r.label for r in seen], np.float64)
