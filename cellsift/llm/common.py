@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import cellsift
 
@@ -82,3 +83,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def filtered(df: DataFrame, columns: dict[str, str], decide) -> DataFrame:
+    """The rows of df for which decide, given batches of some columns (cast to the named types), says so. One pass, no join."""
+    n = len(df.columns)
+    schema = df.schema
+    asked = [F.col(f"`{c}`").cast(t).alias(f"__asked{k}") if c in df.columns else F.lit(None).cast(t).alias(f"__asked{k}") for k, (c, t) in enumerate(columns.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                part = whole.slice(k, 1024)
+                kept = pa.array(np.asarray(decide(*part.columns[n:]), bool))
+                yield pa.RecordBatch.from_arrays([c.filter(kept) for c in part.columns[:n]], names=schema.names)
+
+    return df.select("*", *asked).mapInArrow(run, schema)

@@ -407,6 +407,13 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     return ids.join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents that are the least doc_id of their component, one row a doc_id, with all their columns. Rows without a doc_id stay."""
+    keep = jaccard_components(documents).where("doc_id = component_id").select("doc_id").distinct()
+    known = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*documents.columns).union(documents.where("doc_id is null"))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, mix, spans, table, written
+from cellsift.llm.common import buffers, filtered, mix, spans, table, written
 from cellsift.llm.sample import fold, labelled
 
 SHAPES, WORDS, STATED = 1024, 512, 128
@@ -253,6 +253,12 @@ def score(documents: DataFrame, model: CoTrained) -> DataFrame:
     return seen(documents, "doc_id").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double, predicted int, content_score double, meta_score double")
 
 
+def accepted(documents: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:
+    """The documents whose score is at least so much, with all their columns."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return filtered(documents, COLUMNS, lambda text, *rest: sent.value.score(*features(text, *(c.to_pylist() for c in rest)))[0] >= least)
+
+
 def may_learn(key: str = "doc_id"):
     return F.coalesce(fold(key, 5) != 0, F.lit(False))
 

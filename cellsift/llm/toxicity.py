@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, mix, spans, table
+from cellsift.llm.common import buffers, filtered, mix, spans, table
 from cellsift.llm.langid import letters
 from cellsift.llm.sample import fold, labelled
 
@@ -381,6 +381,12 @@ def score(documents: DataFrame, net: Network, text: str = "text", keep: tuple[st
     return documents.select(*(documents[c] for c in keep), documents[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def accepted(documents: DataFrame, net: Network, below: float = 0.5) -> DataFrame:
+    """The documents whose score is below that, with all their columns."""
+    sent = documents.sparkSession.sparkContext.broadcast(net)
+    return filtered(documents, {"text": "string"}, lambda text: sent.value.score(text) < below)
+
+
 def may_learn(key: str = "doc_id"):
     return F.coalesce(fold(key, 5) != 0, F.lit(False))
 
