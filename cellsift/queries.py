@@ -1,12 +1,375 @@
-"""Queries of the error-detection operators and the SQL they must agree with."""
+"""Queries over the star-schema tables, one for each operator, and the SQL they must agree with."""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellsift import detection
+from cellsift.functions.values import strip
+from cellsift.operators import distances, evaluation, grouped, pairs, probability, selection
+from cellsift.plans.constraints import INT, STRING, dependency, equal, threshold_index
+from cellsift.sources.tables import IDX, cell_id, parse_cell_id, with_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str, by: str, *columns: str) -> DataFrame:
+    return with_index(spark.read.parquet(f"{sf_dir}/{name}.parquet"), by).select(IDX, *columns)
+
+
+# Dependencies and thresholds that the queries share.
+NATION = equal("c_nationkey", "c_mktsegment")
+CUSTOMER = ["c_nationkey", "c_mktsegment"]
+CUSTOMER_KINDS = {"c_nationkey": INT, "c_mktsegment": STRING}
+CUSTOMER_TAUS = {"c_nationkey": 0.15, "c_mktsegment": 0.1}
+PRIORITY = equal("o_custkey", "o_orderpriority")
+ORDER_KINDS = {"o_custkey": INT, "o_orderpriority": STRING}
+ORDER_TAUS = {"o_custkey": 0.2, "o_orderpriority": 0.25}
+EVENT = equal(["user_id", "event_type"], "props")
+EVENT_KINDS = {"user_id": INT, "event_type": STRING, "props": STRING}
+PART = equal(["p_name", "p_brand"], "p_type")
+PART_KINDS = {"p_name": STRING, "p_brand": STRING, "p_type": STRING}
+
+
+def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, "customer", "c_custkey", *CUSTOMER)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+
+
+def made_up(df: DataFrame, attrs: list[str]) -> DataFrame:
+    """Probabilities by formula, so that tests of selection don't depend on scoring."""
+    return df.select(IDX, *(((F.col(IDX) * 37 + 101 * k) % 1000 / 1000).alias(a) for k, a in enumerate(attrs)))
+
+
+def dirt(df: DataFrame) -> DataFrame:
+    """customer with nulls and padding in place of some values."""
+    nation = F.when(F.col(IDX) % 11 == 0, None).otherwise(F.col("c_nationkey").cast("string"))
+    segment = F.when(F.col(IDX) % 10 == 0, None).when(F.col(IDX) % 7 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return df.select(IDX, nation.alias("c_nationkey"), segment.alias("c_mktsegment"))
+
+
+DIRT_SQL = "SELECT c_custkey AS idx, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS n, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN ' ' || c_mktsegment ELSE c_mktsegment END AS s FROM customer"
+
+
+def base_rows(df: DataFrame) -> int:
+    """The first four fifths are the base, the rest the delta."""
+    return df.count() * 4 // 5
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 2.0), ('a', 1, 0.0), ('b', 0, 3.0), ('b', 1, 1.0), ('c', 0, 0.0)) t(attr, place, threshold)")
+def threshold_index_query(spark, sf_dir):
+    found = threshold_index([dependency({"a": ("<=", 0.0), "b": (">", 1.0)}, ("c", ("<=", 0.0))), dependency({"a": ("<=", 2.0)}, ("b", ("<=", 3.0)))])
+    return spark.createDataFrame([(a, k, t) for a, ts in found.items() for k, t in enumerate(ts)], "attr string, place int, threshold double")
+
+
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace('  ' || chr(9) || text || chr(160) || ' ', '^[\\s\\x{A0}\\x{85}]+', ''), '[\\s\\x{A0}\\x{85}]+$', '') AS stripped FROM conversations")
+def strip_clean(spark, sf_dir):
+    padded = F.concat(F.lit("  \t"), "text", F.lit("  "))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", strip(padded).alias("stripped"))
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT 'p_type' AS attr, trim(p_type) AS v FROM part UNION SELECT DISTINCT 'p_brand', trim(p_brand) FROM part) SELECT a.attr, a.v AS v1, b.v AS v2, CAST(levenshtein(replace(a.v, ' ', ''), replace(b.v, ' ', '')) AS BIGINT) AS dist FROM v a JOIN v b ON a.attr = b.attr AND a.v <= b.v"
+)
+def string_distance_distinct(spark, sf_dir):
+    return distances.value_distances(rows(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand"), {"p_type": STRING, "p_brand": STRING})
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT 's_acctbal' AS attr, CAST(s_acctbal AS VARCHAR) AS v, trunc(s_acctbal) AS x FROM supplier UNION SELECT DISTINCT 's_nationkey', CAST(s_nationkey AS VARCHAR), trunc(CAST(s_nationkey AS DOUBLE)) FROM supplier) SELECT a.attr, CAST(sum(abs(a.x - b.x)) AS BIGINT) AS total, count(*) AS n FROM v a JOIN v b ON a.attr = b.attr AND a.v <= b.v GROUP BY a.attr"
+)
+def int_distance_distinct(spark, sf_dir):
+    """Sums, as engines print doubles differently."""
+    found = distances.value_distances(rows(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", "s_nationkey"), {"s_acctbal": INT, "s_nationkey": INT})
+    return found.groupBy("attr").agg(F.sum("dist").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 's_nationkey' AS attr, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+def clusters_eq(spark, sf_dir):
+    return pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), [equal([], "s_nationkey")], {"s_nationkey": INT}).select("attr", "i", "j")
+
+
+REFINED = [dependency({"s_nationkey": ("<=", 2.0)}, ("s_name", ("<=", 1.0))), dependency({"s_nationkey": ("<=", 0.0)}, ("s_name", ("<=", 0.0)))]
+
+
+@query(
+    "SELECT 's_nationkey' AS attr, t.threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', t.threshold, a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
+)
+def clusters_refined(spark, sf_dir):
+    return pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name"), REFINED, {"s_nationkey": INT, "s_name": STRING})
+
+
+@query("SELECT 's_nationkey' AS attr, a.s_suppkey AS i, count(*) AS n, CAST(min(b.s_suppkey) AS BIGINT) AS first_j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_suppkey")
+def clusters_nested(spark, sf_dir):
+    found = pairs.nested(pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), [equal([], "s_nationkey")], {"s_nationkey": INT}))
+    return found.select("attr", "i", F.size("js").cast("bigint").alias("n"), F.col("js")[0].alias("first_j"))
+
+
+FD_SQL = (
+    "SELECT 0 AS dd_id, a.c_custkey AS i, b.c_custkey AS j FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE replace(a.c_mktsegment, ' ', '') <> replace(b.c_mktsegment, ' ', '')"
+)
+
+
+@query(FD_SQL)
+def violations_fd(spark, sf_dir):
+    return pairs.violations(customer(spark, sf_dir), [NATION], CUSTOMER_KINDS)
+
+
+@query("SELECT 0 AS dd_id, a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE replace(a.o_orderpriority, ' ', '') <> replace(b.o_orderpriority, ' ', '')")
+def violations_orders(spark, sf_dir):
+    return pairs.violations(orders(spark, sf_dir), [PRIORITY], ORDER_KINDS)
+
+
+@query(
+    "SELECT 'events' AS t, a.event_id AS i, b.event_id AS j FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id WHERE replace(a.props, ' ', '') <> replace(b.props, ' ', '') UNION ALL SELECT 'part', a.p_partkey, b.p_partkey FROM part a JOIN part b ON replace(a.p_name, ' ', '') = replace(b.p_name, ' ', '') AND replace(a.p_brand, ' ', '') = replace(b.p_brand, ' ', '') AND a.p_partkey < b.p_partkey WHERE replace(a.p_type, ' ', '') <> replace(b.p_type, ' ', '')"
+)
+def violations_multi_lhs(spark, sf_dir):
+    event = pairs.violations(rows(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props"), [EVENT], EVENT_KINDS)
+    part = pairs.violations(rows(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), [PART], PART_KINDS)
+    return event.select(F.lit("events").alias("t"), "i", "j").union(part.select(F.lit("part").alias("t"), "i", "j"))
+
+
+@query("SELECT 0 AS dd_id, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE NOT abs(trunc(a.s_acctbal) - trunc(b.s_acctbal)) <= 1000 AND NOT levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= 1")
+def violations_gt_lhs(spark, sf_dir):
+    dd = dependency({"s_nationkey": ("<=", 0.0), "s_acctbal": (">", 1000.0)}, ("s_name", ("<=", 1.0)))
+    return pairs.violations(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal", "s_name"), [dd], {"s_nationkey": INT, "s_acctbal": INT, "s_name": STRING})
+
+
+@query("SELECT 0 AS dd_id, CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE levenshtein(replace(a.n_name, ' ', ''), replace(b.n_name, ' ', '')) <= 6")
+def violations_gt_rhs(spark, sf_dir):
+    dd = dependency({"n_regionkey": ("<=", 0.0)}, ("n_name", (">", 6.0)))
+    return pairs.violations(rows(spark, sf_dir, "nation", "n_nationkey", "n_regionkey", "n_name"), [dd], {"n_regionkey": INT, "n_name": STRING})
+
+
+@query("SELECT 0 AS dd_id, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE NOT abs(a.s_nationkey - b.s_nationkey) <= 3 AND NOT abs(trunc(a.s_acctbal) - trunc(b.s_acctbal)) <= 5000")
+def violations_no_le(spark, sf_dir):
+    dd = dependency({"s_nationkey": (">", 3.0)}, ("s_acctbal", ("<=", 5000.0)))
+    return pairs.violations(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), [dd], {"s_nationkey": INT, "s_acctbal": INT})
+
+
+@query("SELECT 0 AS dd_id, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= 2 WHERE a.s_nationkey <> b.s_nationkey")
+def violations_fuzzy(spark, sf_dir):
+    dd = dependency({"s_name": ("<=", 2.0)}, ("s_nationkey", ("<=", 0.0)))
+    return pairs.violations(rows(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey"), [dd], {"s_nationkey": INT, "s_name": STRING})
+
+
+@query(
+    f"WITH d AS ({DIRT_SQL}), m AS (SELECT idx, n, CASE WHEN s = trim(s) THEN replace(s, ' ', '') END AS s FROM d) SELECT 0 AS dd_id, a.idx AS i, b.idx AS j FROM m a JOIN m b ON a.idx < b.idx WHERE coalesce(a.n = b.n, false) AND NOT coalesce(a.s = b.s, false) UNION ALL SELECT 1, a.idx, b.idx FROM m a JOIN m b ON a.idx < b.idx WHERE coalesce(a.s = b.s, false) AND NOT coalesce(a.n = b.n, false)"
+)
+def violations_nulls(spark, sf_dir):
+    dds = [NATION, equal("c_mktsegment", "c_nationkey")]
+    return pairs.violations(dirt(customer(spark, sf_dir)), dds, {"c_nationkey": STRING, "c_mktsegment": STRING})
+
+
+@query(
+    f"SELECT 'customer' AS t, count(*) AS n FROM ({FD_SQL}) UNION ALL SELECT 'orders', count(*) FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_orderpriority <> b.o_orderpriority UNION ALL SELECT 'documents', count(*) FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE a.source <> b.source"
+)
+def violation_counts_per_dd(spark, sf_dir):
+    """By group aggregates; no pair is built."""
+    document = rows(spark, sf_dir, "documents", "doc_id", "text", "source")
+    parts = [("customer", customer(spark, sf_dir), NATION, CUSTOMER_KINDS), ("orders", orders(spark, sf_dir), PRIORITY, ORDER_KINDS), ("documents", document, equal("text", "source"), {"text": STRING, "source": STRING})]
+    found = [grouped.pair_counts(df, [dd], kinds).select(F.lit(t).alias("t"), "n") for t, df, dd, kinds in parts]
+    return found[0].union(found[1]).union(found[2])
+
+
+PART_PAIRS = "SELECT a.p_partkey AS i, b.p_partkey AS j FROM part a JOIN part b ON replace(a.p_name, ' ', '') = replace(b.p_name, ' ', '') AND replace(a.p_brand, ' ', '') = replace(b.p_brand, ' ', '') AND a.p_partkey < b.p_partkey WHERE replace(a.p_type, ' ', '') <> replace(b.p_type, ' ', '')"
+
+
+@query(
+    f"WITH p AS ({PART_PAIRS}) SELECT 0 AS dd_id, i, j, pos, CASE WHEN pos % 2 = 0 THEN i ELSE j END AS idx, attr, 't' || CAST(CASE WHEN pos % 2 = 0 THEN i ELSE j END AS VARCHAR) || '.' || attr AS cell FROM p, (VALUES (0, 'p_name'), (1, 'p_name'), (2, 'p_brand'), (3, 'p_brand'), (4, 'p_type'), (5, 'p_type')) c(pos, attr)"
+)
+def hyper_edges(spark, sf_dir):
+    found = pairs.violations(rows(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), [PART], PART_KINDS)
+    return pairs.hyper_edges(found, [PART]).withColumn("cell", cell_id())
+
+
+@query("SELECT p_partkey AS idx, 'p.type' AS attr FROM part")
+def parse_cells(spark, sf_dir):
+    named = rows(spark, sf_dir, "part", "p_partkey").withColumn("attr", F.lit("p.type")).select(cell_id(IDX, "attr").alias("cell"))
+    return named.select(parse_cell_id(F.col("cell")).alias("c")).select("c.*")
+
+
+NB_ROWS = "SELECT c_custkey AS idx, CAST(c_nationkey AS VARCHAR) AS x, c_mktsegment AS y, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS z FROM customer"
+
+
+def nb_sql(t: str, a: str, b: str) -> str:
+    """The dense formula: every row against every class."""
+    n = lambda f: f"SELECT {t} AS c, {f} AS v, count(*) AS n FROM r GROUP BY 1, 2"
+    return (
+        f"SELECT idx, sum(CASE WHEN own = c THEN e ELSE 0 END) / sum(e) AS p FROM (SELECT r.idx, r.{t} AS own, k.c, exp(ln(k.n / tot.n) - 2 * ln(k.n * 2 + f.f) + ln(1 + coalesce(na.n, 0)) + ln(1 + coalesce(nb.n, 0)) + 20) AS e "
+        f"FROM r CROSS JOIN (SELECT {t} AS c, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY 1) k CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM r) tot CROSS JOIN (SELECT count(DISTINCT {a}) + count(DISTINCT {b}) AS f FROM r) f "
+        f"LEFT JOIN ({n(a)}) na ON na.c = k.c AND na.v = r.{a} LEFT JOIN ({n(b)}) nb ON nb.c = k.c AND nb.v = r.{b}) GROUP BY idx"
+    )
+
+
+JOINT_SQL = f"WITH r AS ({NB_ROWS}), px AS ({nb_sql('x', 'y', 'z')}), py AS ({nb_sql('y', 'x', 'z')}) SELECT px.idx, round(px.p, 6) AS p_nation, round(py.p, 6) AS p_segment FROM px JOIN py ON px.idx = py.idx"
+
+
+def scored_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_index(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
+    return df.select(IDX, *CUSTOMER, F.floor(F.col("c_acctbal") / 1000).alias("thousands"))
+
+
+@query(JOINT_SQL)
+def joint_probability(spark, sf_dir):
+    found = probability.joint_probabilities(scored_customer(spark, sf_dir), CUSTOMER)
+    return found.select(F.col(IDX).alias("idx"), F.round("c_nationkey", 6).alias("p_nation"), F.round("c_mktsegment", 6).alias("p_segment"))
+
+
+@query(
+    "WITH f AS (SELECT p_brand AS v, count(*) * 1.0 / (SELECT count(p_brand) FROM part) AS p FROM part WHERE p_brand IS NOT NULL GROUP BY 1), c AS (SELECT p_partkey AS idx, coalesce(f.p, 0) AS p FROM part LEFT JOIN f ON f.v = p_brand) SELECT idx, round(CAST((p - (SELECT min(p) FROM c)) / ((SELECT max(p) FROM c) - (SELECT min(p) FROM c)) AS DOUBLE), 6) AS p FROM c"
+)
+def marginal_probability(spark, sf_dir):
+    found = probability.marginal_probability(rows(spark, sf_dir, "part", "p_partkey", "p_brand"), "p_brand")
+    return found.select(F.col(IDX).alias("idx"), F.round("p", 6).alias("p"))
+
+
+def errors_sql(pairs_sql: str, names: list[str], taus: dict[str, float], edge: bool = False) -> str:
+    """Selection by pairs, with the made-up probabilities."""
+    p = lambda k, side: f"(({side} * 37 + {101 * k}) % 1000) / 1000.0"
+    cells = " UNION ALL ".join(f"SELECT i, j, {k} AS pos, {side} AS idx, '{n}' AS attr, {p(k, side)} AS p, {p(k, side)} < {taus[n]} AS low FROM v" for k, n in enumerate(names) for side in "ij")
+    asked = "bool_or(low)" if edge else "bool_or(low AND pos = 0)"
+    return (
+        f"WITH v AS ({pairs_sql}), c AS ({cells}), l AS (SELECT i, j, {asked} AS has FROM c GROUP BY i, j), o AS (SELECT c.*, row_number() OVER (PARTITION BY c.i, c.j ORDER BY p, pos, idx) AS k FROM c) "
+        "SELECT idx, attr FROM c WHERE low UNION SELECT o.idx, o.attr FROM o JOIN l ON o.i = l.i AND o.j = l.j WHERE o.k = 1 AND NOT l.has"
+    )
+
+
+ORDERS_PAIRS = "SELECT a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_orderpriority <> b.o_orderpriority"
+ERRORS_SQL = errors_sql(FD_SQL, CUSTOMER, CUSTOMER_TAUS)
+ORDER_ERRORS_SQL = errors_sql(ORDERS_PAIRS, ["o_custkey", "o_orderpriority"], ORDER_TAUS)
+
+
+@query(ERRORS_SQL)
+def error_cells_pairwise(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    return detection.detect(df, [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS, made_up(df, CUSTOMER), strategy="pairs")
+
+
+@query(ERRORS_SQL)
+def error_cells_grouped(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    return detection.detect(df, [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS, made_up(df, CUSTOMER))
+
+
+@query(ORDER_ERRORS_SQL)
+def error_cells_orders(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return detection.detect(df, [PRIORITY], ORDER_TAUS, ORDER_KINDS, made_up(df, ["o_custkey", "o_orderpriority"]))
+
+
+@query(errors_sql(FD_SQL, CUSTOMER, CUSTOMER_TAUS, edge=True))
+def error_cells_edge_fallback(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    return detection.detect(df, [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS, made_up(df, CUSTOMER), fallback="edge")
+
+
+# The clean copy of customer has other segments in some rows; the dirty one is padded in others, which is no difference.
+DIFF_SQL = "SELECT c_custkey AS idx, 'c_mktsegment' AS attr FROM customer WHERE c_custkey % 9 = 0 AND trim(c_mktsegment) <> 'HOUSEHOLD' UNION ALL SELECT c_custkey, 'c_nationkey' FROM customer WHERE c_custkey % 13 = 0"
+
+
+def clean_customer(df: DataFrame) -> DataFrame:
+    segment = F.when(F.col(IDX) % 9 == 0, F.lit("HOUSEHOLD")).otherwise(F.col("c_mktsegment"))
+    nation = F.when(F.col(IDX) % 13 == 0, None).otherwise(F.col("c_nationkey").cast("string"))
+    return df.select(IDX, nation.alias("c_nationkey"), segment.alias("c_mktsegment"))
+
+
+def padded_customer(df: DataFrame) -> DataFrame:
+    segment = F.when(F.col(IDX) % 4 == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit("\t"))).otherwise(F.col("c_mktsegment"))
+    return df.select(IDX, F.col("c_nationkey").cast("string").alias("c_nationkey"), segment.alias("c_mktsegment"))
+
+
+@query(DIFF_SQL)
+def diff_cells(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    return evaluation.difference(padded_customer(df), clean_customer(df))
+
+
+@query(
+    f"WITH e AS ({ERRORS_SQL}), t AS ({DIFF_SQL}), s AS (SELECT count(*) FILTER (WHERE e.idx IS NOT NULL AND t.idx IS NOT NULL) AS tp, count(*) FILTER (WHERE t.idx IS NULL) AS fp, count(*) FILTER (WHERE e.idx IS NULL) AS fn FROM e FULL JOIN t ON e.idx = t.idx AND e.attr = t.attr) SELECT tp, fp, fn, round(tp * 1.0 / nullif(tp + fp, 0), 9) AS precision_, round(tp * 1.0 / nullif(tp + fn, 0), 9) AS recall_, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM s"
+)
+def precision_recall_f1(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    found = evaluation.scores(error_cells_grouped(spark, sf_dir), evaluation.difference(padded_customer(df), clean_customer(df)))
+    return found.select("tp", "fp", "fn", *(F.round(c, 9).alias(n) for c, n in (("precision", "precision_"), ("recall", "recall_"), ("f1", "f1"))))
+
+
+SUPPLIER_NAME = equal("s_nationkey", "s_name")
+TRUTH_ROWS = "SELECT s_suppkey AS idx FROM supplier WHERE ((s_suppkey * 37) % 1000) / 1000.0 < 0.3"
+
+
+@query(
+    f"WITH e AS ({TRUTH_ROWS}) SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND replace(a.s_name, ' ', '') <> replace(b.s_name, ' ', '') WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.idx = a.s_suppkey) AND NOT EXISTS (SELECT 1 FROM e WHERE e.idx = b.s_suppkey)"
+)
+def uncovered_pairs(spark, sf_dir):
+    """Pairs that low cells alone, without the fallback, leave uncovered."""
+    df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name")
+    found = pairs.violations(df, [SUPPLIER_NAME], {"s_nationkey": INT, "s_name": STRING})
+    low = selection.long_probabilities(made_up(df, ["s_nationkey"]), {"s_nationkey": 0.3}).where("p < tau").select("idx", "attr")
+    return evaluation.uncovered(found, low)
+
+
+CUT = "(SELECT count(*) * 4 // 5 FROM {t})"
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey AS idx, CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) AS v FROM customer), o AS (SELECT DISTINCT v FROM c WHERE idx < {CUT.format(t='customer')}), n AS (SELECT DISTINCT v FROM c WHERE idx >= {CUT.format(t='customer')} AND v NOT IN (SELECT v FROM o)) "
+    "SELECT 'tens' AS attr, o.v AS v1, n.v AS v2, CAST(abs(CAST(o.v AS BIGINT) - CAST(n.v AS BIGINT)) AS BIGINT) AS dist FROM o, n UNION ALL SELECT 'tens', a.v, b.v, CAST(abs(CAST(a.v AS BIGINT) - CAST(b.v AS BIGINT)) AS BIGINT) FROM n a JOIN n b ON a.v <= b.v"
+)
+def delta_distances(spark, sf_dir):
+    df = with_index(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey").select(IDX, F.floor(F.col("c_acctbal") / 10).cast("string").alias("tens"))
+    n = base_rows(df)
+    return distances.delta_distances(df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n), {"tens": INT})
+
+
+@query(
+    f"SELECT 's_nationkey' AS attr, t.threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', t.threshold, a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
+)
+def delta_clusters(spark, sf_dir):
+    df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name")
+    return pairs.clusters(df, REFINED, {"s_nationkey": INT, "s_name": STRING}, base_rows(df))
+
+
+@query(f"SELECT * FROM ({FD_SQL}) WHERE j >= {CUT.format(t='customer')}")
+def delta_violations(spark, sf_dir):
+    df = customer(spark, sf_dir)
+    return pairs.violations(df, [NATION], CUSTOMER_KINDS, base_rows(df))
+
+
+@query(ORDER_ERRORS_SQL)
+def incremental_error_cells(spark, sf_dir):
+    """Base and delta one after the other; the SQL looks at the whole table."""
+    df = orders(spark, sf_dir)
+    n = base_rows(df)
+    return detection.detect_incremental(df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n), [PRIORITY], ORDER_TAUS, ORDER_KINDS, made_up(df, ["o_custkey", "o_orderpriority"]), n)
+
+
+@query()
+def detection_with_scores(spark, sf_dir):
+    """The complete batch: naive-Bayes scores, then error cells."""
+    return detection.detect(scored_customer(spark, sf_dir), [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["error_cells_grouped"](spark, sf_dir)
+    return detection_with_scores(spark, sf_dir)
+
+
+QUERIES["threshold_index"] = QUERIES.pop("threshold_index_query")
+SQL["threshold_index"] = SQL.pop("threshold_index_query")
