@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellsift.llm.common import buffers, mix, partitions, spans, table, written
@@ -40,6 +40,8 @@ WORDS, PERCENT = 5, 80
 SPAN = 1 << 20
 #: Hashes and texts of a chunk at most (but for its last text), and texts of a chunk from which on an n-gram is sent once.
 CHUNK_HASHES, CHUNK_TEXTS, COMMON = 2_000_000, 60_000, 32
+#: Member pairs tried first for two clusters that may touch.
+TRIES = 12
 #: Hash ranges of the suffix filter.
 RANGES = 16
 ONES, SET_BITS = np.uint64((1 << 16) - 1), np.uint64(16)
@@ -353,6 +355,30 @@ def least_overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
 
 
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that aren't in one component yet."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias("in_" + c))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select(*pairs.columns)
+
+
+def sampled(placed: DataFrame) -> DataFrame:
+    """Two members of each cluster in each list, by hashes of their ids."""
+    member = F.struct("doc", "n", "pos", "d")
+    two = placed.groupBy("h", "cid").agg(*(F.min(F.struct(F.xxhash64("doc", F.lit(k)), member.alias("m"))).alias(f"m{k}") for k in range(2)))
+    return two.select("h", "cid", F.explode(F.array_distinct(F.array("m0.m", "m1.m"))).alias("m")).select("h", "cid", "m.*")
+
+
+def member_pairs(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """a, b, x, y: members of the clusters a and b that a list brings together, after the filters. pairs has the larger cluster as a."""
+    y = pairs.join(lists.select(F.col("cid").alias("b"), "h", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("d").alias("dy")), "b")
+    x = lists.select(F.col("cid").alias("a"), "h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("d").alias("dx"))
+    both = y.join(x, ["a", "h"]).where(F.col("apart") <= F.col("dx") + F.col("dy") + (1 - percent / 100 + 1e-9))
+    both = both.where(similar_sizes(F.col("nx"), F.col("ny"), percent) & similar_sizes(F.col("ny"), F.col("nx"), percent))
+    both = both.where(F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least_overlap(F.col("nx"), F.col("ny"), percent))
+    return both.select("a", "b", "x", "y")
+
+
 def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each of df's rows."""
     base = document_sets(df, words, percent, doc_id, text)
@@ -379,28 +405,31 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     met = left.join(right, "h").where("cida < cidb")
     met = met.where(similar_sizes(F.col("mosta"), F.col("leastb"), percent) & similar_sizes(F.col("mostb"), F.col("leasta"), percent))
     met = met.where(F.least("resta", "restb") >= least_overlap(F.col("leasta"), F.col("leastb"), percent))
-    pairs = met.groupBy(F.col("cida").alias("a"), F.col("cidb").alias("b")).agg((F.lit(limit) + F.max("ra") + F.max("rb")).alias("reach"))
+    pairs = met.groupBy(F.col("cida").alias("a"), F.col("cidb").alias("b")).agg(F.max("ra").alias("ra"), F.max("rb").alias("rb")).withColumn("reach", F.col("ra") + F.col("rb") + limit)
     info = live.select("doc_id", "n", "ranges")
     near = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("xa")), "a").join(info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("xb")), "b")
     bound = F.aggregate(F.zip_with("xa", "xb", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
     near = near.where(bound + 1e-6 >= (1 - F.col("reach")) / (2 - F.col("reach")) * (F.col("na") + F.col("nb")))
-    judged = written(verified(near.select("a", "b", "reach"), sets, "reach").select("a", "b", "reach", links(percent).alias("link"), distance().alias("d")), "judged")
+    judged = written(verified(near.select("a", "b", "ra", "rb", "reach"), sets, "ra", "rb", "reach").select("a", "b", "ra", "rb", "reach", links(percent).alias("link"), distance().alias("d")), "judged")
 
     found = members.select(F.col("doc").alias("a"), F.col("lead").alias("b")).union(judged.where("link").select("a", "b"))
     comps = written(components(found), "components")
 
-    # Clusters that may still touch: their members meet in the lists.
+    # Clusters that may still touch: first a few of their members that share most lists, then all members that do.
     open_ = judged.where(~F.col("link") & (F.col("reach") > limit) & (F.col("d") <= F.col("reach") + 1e-9))
-    where_ = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias("in_" + c))
-    open_ = open_.join(where_("a"), "a", "left").join(where_("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
-    open_ = written(open_.select("a", "b", F.col("d").alias("apart")), "open")
-    if not open_.isEmpty():
-        x = open_.join(placed.select(F.col("cid").alias("a"), "h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("d").alias("dx")), "a")
-        y = open_.join(placed.select(F.col("cid").alias("b"), "h", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("d").alias("dy")), "b").drop("apart")
-        both = x.join(y, ["a", "b", "h"]).where("apart <= dx + dy + %r" % (limit + 1e-9))
-        both = both.where(similar_sizes(F.col("nx"), F.col("ny"), percent) & similar_sizes(F.col("ny"), F.col("nx"), percent))
-        both = both.where(F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least_overlap(F.col("nx"), F.col("ny"), percent))
-        more = verified(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).where(links(percent)).select("a", "b")
+    swap = F.col("ra") < F.col("rb")  # the wider cluster as a
+    open_ = open_.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.col("d").alias("apart"))
+    for every in (False, True):
+        open_ = written(apart(open_, comps), "open")
+        if open_.isEmpty():
+            break
+        lists = placed if every else sampled(placed)
+        tried = member_pairs(open_, lists, percent)
+        if not every:
+            most = Window.partitionBy("a", "b").orderBy(F.desc("c"), "x", "y")
+            tried = tried.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(most)).where(F.col("k") <= TRIES)
+        tried = tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        more = verified(tried, sets).where(links(percent)).select("a", "b")
         comps = written(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
     named = classes.select("f1", "f2", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component"))
