@@ -126,6 +126,11 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a group compares rows of these sides: all if it is one block (-1), else those of different blocks."""
+    return (a < 0) | (a != b)
+
+
 def compare(cosine: float):
     """Counts of links and a forest of links, over the candidates of a partition's keys."""
 
@@ -176,8 +181,7 @@ def compare(cosine: float):
                     for q in range(p, b - a, 1024):
                         i, j = np.nonzero(v[p : p + 1024] @ v[q : q + 1024].T >= cosine)
                         i, j = i + p, j + q
-                        # Within a group of two blocks only pairs across; else each pair once.
-                        good = (i < j) & ((side[a + i] != side[a + j]) if (side[a:b] != side[a]).any() else True)
+                        good = (i < j) & across(side[a + i], side[a + j])
                         i, j = i[good], j[good]
                         judge(key[a:b], ids[a:b], m[a:b], v, keys[a:b], i, j, out)
             if little:
@@ -194,7 +198,7 @@ def compare(cosine: float):
                         step = max(1, PAIRS // len(i0))
                         for c in range(0, len(base), step):
                             i, j = (base[c : c + step, None] + i0).ravel(), (base[c : c + step, None] + j0).ravel()
-                            near = np.einsum("pd,pd->p", v[i], v[j]) >= cosine
+                            near = (np.einsum("pd,pd->p", v[i], v[j]) >= cosine) & across(side[rows[i]], side[rows[j]])
                             i, j = i[near], j[near]
                             judge(key[rows], ids[rows], m[rows], v, keys[rows], i, j, out)
             if out:
@@ -232,7 +236,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = at.withColumn("other", F.explode(others))
     group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(group.alias("group"), "key", F.col("block").cast("bigint").alias("side"), "vec_id", "m", "x", "keys")
+    side = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block"))
+    rows = rows.select(group.alias("group"), "key", side.cast("bigint").alias("side"), "vec_id", "m", "x", "keys")
     found = written(rows.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(compare(cosine), "vec_id bigint, n bigint, root bigint"), "found")
 
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
