@@ -1,6 +1,6 @@
 """Language identification by rank-order n-gram profiles (operator 4).
 
-A profile is a text's most frequent character n-grams (1 to 3, within words, the word's edges marked) in order of
+A profile is a text's most frequent character n-grams (1 to 3, within words, the word's end marked) in order of
 falling count. A document's profile is compared with each language's by the out-of-place distance: the sum over the
 document's n-grams of the difference of ranks, and the profile's length for an n-gram that the language lacks. The
 least distance names the language; the score is 1 minus it, over the greatest possible.
@@ -50,21 +50,18 @@ def grams(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     low = letters()[points]
     owner = (np.searchsorted(begin, places, "right") - 1).astype(np.int32)
-    # Words with a mark (1) on either side; a word ends at a non-letter or where its text ends.
+    # Words, each with a mark (1) after it; a word ends at a non-letter or where its text ends.
     is_letter = low > 0
     after = np.ones(len(low), bool)
     after[:-1] = ~is_letter[1:] | (owner[1:] != owner[:-1])
-    before = np.ones(len(low), bool)
-    before[1:] = after[:-1] | ~is_letter[:-1]
-    opens, ends = is_letter & before, is_letter & after
-    at = np.cumsum(is_letter + opens + ends.astype(np.int64)) - 1 if len(low) else np.zeros(0, np.int64)
+    ends = is_letter & after
+    at = np.cumsum(is_letter.astype(np.int64) + ends) - 1
     total = int(at[-1]) + 1 if len(at) else 0
     marked, own = np.ones(total, np.uint64), np.zeros(total, np.int32)
     inside = at[is_letter] - ends[is_letter]
     marked[inside], own[inside] = low[is_letter], owner[is_letter]
     own[at[ends]] = owner[ends]
-    own[at[opens] - ends[opens] - 1] = owner[opens]
-    # Every mark closes or opens a word; an n-gram must not reach over the border between two words.
+    # An n-gram must not reach over the border between two words.
     border = np.zeros(total, np.int64)
     border[at[ends]] = 1
     word = np.cumsum(border) - border

@@ -48,7 +48,7 @@ def digest(block: bytes) -> str:
 
 def plain(page: str) -> str:
     """Text of a page, a line a block, without scripts, styles and comments."""
-    page = UNSEEN.sub(" ", page)
+    page = UNSEEN.sub("", page)
     page = TAG.sub(lambda m: "\0" if m[2].lower() in BREAKS else "", page.replace("\0", " ").replace("\r", " ").replace("\n", " "))
     return LINES.sub("\n", BLANKS.sub(" ", html.unescape(page.replace("\0", "\n")))).strip()
 
