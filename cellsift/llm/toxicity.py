@@ -31,7 +31,7 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 15, 1 << 16, (3, 5)
 WORD_DIM, GRAM_DIM, EXTRA, HIDDEN, ATTEND = 6, 6, 3, 8, 8
 INPUT = WORD_DIM + GRAM_DIM + EXTRA
-PER_CLASS, EPOCHS, BATCH, RATE, TABLE_RATE, SUPPORT = 2000, 3, 256, 0.05, 0.01, 5
+PER_CLASS, EPOCHS, STEPS, BATCH, RATE, TABLE_RATE, SUPPORT = 2000, 3, 250, 256, 0.05, 0.01, 5
 SPAN, AT_ONCE = 1 << 19, 2048
 
 
@@ -192,7 +192,7 @@ class Network:
         share = target.mean()
         weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         n_gram = np.diff(np.append(words.gram_start, len(words.gram)))
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(index)))):  # few rows are seen more often
             order = rng.permutation(len(index))
             for a in range(0, len(order), BATCH):
                 rows = order[a : a + BATCH]
