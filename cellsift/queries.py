@@ -73,7 +73,7 @@ def base_rows(df: DataFrame) -> int:
     return df.count() * 4 // 5
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 2.0), ('a', 1, 0.0), ('b', 0, 3.0), ('b', 1, 1.0), ('c', 0, 0.0)) t(attr, place, threshold)")
+@query("SELECT attr, place, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES ('a', 0, 2.0), ('a', 1, 0.0), ('b', 0, 3.0), ('b', 1, 1.0), ('c', 0, 0.0)) t(attr, place, threshold)")
 def threshold_index_query(spark, sf_dir):
     found = threshold_index([dependency({"a": ("<=", 0.0), "b": (">", 1.0)}, ("c", ("<=", 0.0))), dependency({"a": ("<=", 2.0)}, ("b", ("<=", 3.0)))])
     return spark.createDataFrame([(a, k, t) for a, ts in found.items() for k, t in enumerate(ts)], "attr string, place int, threshold double")
@@ -110,7 +110,7 @@ REFINED = [dependency({"s_nationkey": ("<=", 2.0)}, ("s_name", ("<=", 1.0))), de
 
 
 @query(
-    "SELECT 's_nationkey' AS attr, t.threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', t.threshold, a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
+    "SELECT 's_nationkey' AS attr, CAST(t.threshold AS DOUBLE) AS threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', CAST(t.threshold AS DOUBLE), a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
 )
 def clusters_refined(spark, sf_dir):
     return pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name"), REFINED, {"s_nationkey": INT, "s_name": STRING})
@@ -340,7 +340,7 @@ def delta_distances(spark, sf_dir):
 
 
 @query(
-    f"SELECT 's_nationkey' AS attr, t.threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', t.threshold, a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
+    f"SELECT 's_nationkey' AS attr, CAST(t.threshold AS DOUBLE) AS threshold, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (2.0)) t(threshold) ON abs(a.s_nationkey - b.s_nationkey) <= t.threshold UNION ALL SELECT 's_name', CAST(t.threshold AS DOUBLE), a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} JOIN (VALUES (0.0), (1.0)) t(threshold) ON levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', '')) <= t.threshold"
 )
 def delta_clusters(spark, sf_dir):
     df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name")
