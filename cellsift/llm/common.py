@@ -11,15 +11,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import cellsift
 
 ROOT = Path(cellsift.__file__).resolve().parents[1]
-if Path.cwd().resolve() != ROOT and str(ROOT) not in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]:
-    cloudpickle.register_pickle_by_value(cellsift)  # Python workers then need not find the package by themselves
+# Python workers that run on this machine find the package where the driver found it; a cluster gets it with the job.
+os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)), str(ROOT)]))
+if SparkContext._active_spark_context is not None:
+    SparkContext._active_spark_context.environment.setdefault("PYTHONPATH", str(ROOT))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
