@@ -18,8 +18,8 @@ Hashes: 64 bits a set's size and identity (two such sums and the size), 48 bits
 
 Cases: a null text, or one without words, has an empty set and links with nothing; one of fewer words than n has one
 element, all its words; repeated rows have equal sets; rows of one doc_id count as one vertex and each get a row;
-rows without a doc_id take part but name no component (null if they reach no doc_id); an empty table gives an empty
-result; further columns don't pass. The input must read the same on each attempt of a task, as a table does.
+rows without a doc_id get the component of rows with an equal set, and a set that only such rows hold links with nothing
+(null); an empty table gives an empty result; further columns don't pass. The input must read the same on each attempt of a task, as a table does.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ forest of links. So n_links is exact for the links found, and the work for a gro
 is spread over tasks of a fixed size. Equal vectors are one vector with a multiplicity.
 
 Cases: vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths
-don't link; rows that share a vec_id each get a row and count each; rows without a vec_id take part and name no
-component; an empty table gives an empty result; further columns don't pass.
+don't link; rows that share a vec_id each get a row and count each; rows without a vec_id get the component of
+equal vectors, and a vector that only such rows hold links with nothing else; an empty table gives an empty result; further columns don't pass.
 """
 
 from __future__ import annotations
