@@ -98,4 +98,3 @@ def neighbours(keys: DataFrame, kind: str, threshold: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("k1"), F.greatest("a", "b").alias("k2"), d.cast("bigint").alias("dist")).where("dist >= 0").distinct()
 
 
-__all__ = ["STRING", "INT", "delta_distances", "distinct_values", "neighbours", "value_distances"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.values import close, distance, key, matchable
 from cellsift.operators.distances import neighbours
-from cellsift.plans.constraints import STRING, Atom, Dependency, threshold_index
+from cellsift.plans.constraints import Atom, Dependency, threshold_index
 from cellsift.plans.strategy import EMPTY, EQUALITY, FUZZY, choose
 from cellsift.sources.tables import IDX
 
@@ -113,4 +113,4 @@ def hyper_edges(found: DataFrame, dds: Iterable[Dependency]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-__all__ = ["STRING", "clusters", "hyper_edges", "keyed", "nested", "row_pairs", "violating_pairs", "violation_counts", "violations"]
+__all__ = ["clusters", "hyper_edges", "keyed", "nested", "row_pairs", "violating_pairs", "violation_counts", "violations"]
