@@ -3,7 +3,7 @@
 A pseudo-random rotation is three rounds of random signs and a Walsh-Hadamard transform; a vector's code is the axis
 (with its sign) of largest size, and a table's key joins the codes of some rotations, more of them the more vectors
 there are. Besides its own key a vector goes to the PROBES next best ones. Vectors that meet under a key are candidates;
-their cosine is computed in double precision, and a pair counts under the first key that it shares, so once.
+their cosine is computed in double precision, and a pair counts under the least key that it shares, so once.
 
 A key with many vectors is cut into blocks, and tasks compare pairs of blocks; no pair leaves a task, only counts and a
 forest of links. So n_links is exact for the links found, and the work for a group of g near copies, g squared products,
@@ -97,16 +97,15 @@ def hashed(vectors: DataFrame, joined: int) -> DataFrame:
 
 
 def first_shared(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether no earlier key than this one is common to both; keys stand in the order of the tables."""
+    """Whether no key less than this one is common to both; the same for (a, b) as for (b, a)."""
     alive = np.arange(len(a))
     good = np.ones(len(a), bool)
     for k in range(a.shape[1]):
         own = a[alive, k]
-        here = own == key[alive]
-        alive, own = alive[~here], own[~here]  # this key's turn: no earlier one was common
-        shared = (b[alive] == own[:, None]).any(1)
+        less = np.flatnonzero(own < key[alive])
+        shared = less[(b[alive[less]] == own[less, None]).any(1)]
         good[alive[shared]] = False
-        alive = alive[~shared]
+        alive = np.delete(alive, shared)
         if not len(alive):
             break
     return good

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cellsift.llm import decontaminate, ngram_join, polytope
@@ -76,6 +77,17 @@ def test_vectors(spark, monkeypatch, block):
     assert polytope.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_pair_counts_once_in_whatever_order_its_rows_come():
+    names = ["group", "key", "side", "vec_id", "m", "x", "keys"]
+    x = np.array([1.0, 0.0]).tobytes()
+    held = {1: [10, 20, 30], 2: [20, 10, 40]}
+    for orders in ([(1, 2), (1, 2)], [(1, 2), (2, 1)], [(2, 1), (1, 2)], [(2, 1), (2, 1)]):
+        rows = [(key, key, -1, v, 1, x, held[v]) for key, order in zip((10, 20), orders, strict=True) for v in order]
+        out = list(polytope.compare(0.95)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)])))
+        links = [(v, n) for b in out for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert sorted(links) == [(1, 1), (2, 1)]
+
+
 def test_leaks(spark):
     items = [(1, "At noon Tom walks 12 km to meet Anna and then he takes Anna back 30 km home."), (2, "short item here now"), (3, None), (4, "")]
     docs = [
