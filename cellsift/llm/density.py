@@ -2,10 +2,11 @@
 
 A page is read into a tree; every node gets its characters per tag, adjusted by how many of the characters and tags are
 links: density = C/T * log_b(C/LC * T/LT), b = ln(C/(C-LC) * LC + LC_page/C_page * C + e). A node's sum of its children's
-densities grows where dense blocks stand side by side. The node of greatest sum is taken as the main text, after
-elements that say what they are (menus, headers of the page, footers, asides, forms, scripts, adverts, notices,
-comments) have gone. The least density on the path from it to the body is the threshold, and within it nodes of
-lower density that consist mostly of links go.
+densities grows where dense blocks stand side by side. The least density on the path from the node of greatest sum to
+the body is the threshold: that node and every other one that reaches the threshold is main text, after elements that
+say what they are (menus, headers of the page, footers, asides, forms, scripts, adverts, notices, comments) have gone.
+What stands beside those nodes and isn't mostly links, and headings before them, go with them; within them nodes of
+lower density that consist mostly of links go. Article and main elements have no say in this.
 
 Cases: a null page counts as empty; a page without text gives an empty text; unclosed and stray tags are closed or
 ignored as browsers do in the common cases; equal sums go to the earlier node; repeated rows give equal rows; an empty
@@ -47,6 +48,9 @@ WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion discuss cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay dialog lightbox subscribe subscription newsletter signup login signin register share sharing social follow "
     "related recommended recommendations recommend popular trending widget widgets search searchbox pagination pager paging tags tagcloud skip toc legal copyright disclaimer paywall hidden feedback rating poll".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text.
+TEXT = HEADINGS | frozenset("p ul ol dl pre blockquote table figure section hgroup".split())
 #: Elements whose class names are about the whole page.
 WHOLE = frozenset("html body main article".split())
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -217,52 +221,95 @@ def blocks(node: Node, threshold: float) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    root = parse(page or "")
-    drop(root)
-    nodes = measure(root)
-    body = next((x for x, _ in nodes if x.tag == "body"), root)
-    if not body.chars:
-        return ""
+def densest(nodes: list[tuple[Node, tuple]], body: Node) -> tuple[Node, tuple, float]:
+    """The node of greatest sum, the nodes above it, and the least density from it to the body."""
     best, path = None, ()
     for node, above in nodes:
         if node.tag in INLINE or node is not body and node.tag in ("html", "#page"):
             continue
         if best is None or node.sum > best.sum:
             best, path = node, above
-    least = best.density
-    lifted, way = best, path
+    least, up = best.density, path
+    while up:
+        if up[0].tag not in ("html", "#page"):
+            least = min(least, up[0].density)
+        up = up[1]
+    return best, path, least
+
+
+def upwards(path: tuple) -> set[Node]:
+    out = set()
     while path:
-        up, path = path
-        least = min(least, up.density) if up.tag not in ("html", "#page") else least
-        if up.tag in ("article", "main"):  # what an article holds belongs together
-            lifted = up
-    for node, above in nodes:
-        if node.tag in ("article", "main") and best is not lifted and node is lifted:
-            best = node
-            break
-    if best.tag not in ("article", "main") and not way_has(way, ("article", "main")):
-        held = [x for x, _ in nodes if x.tag in ("article", "main") and x.chars * 2 > best.chars and is_below(x, best, nodes)]
-        if held:
-            best = held[0]
-    return "\n\n".join(blocks(best, least))
+        out.add(path[0])
+        path = path[1]
+    return out
 
 
-def way_has(way: tuple, tags: tuple[str, ...]) -> bool:
-    while way:
-        if way[0].tag in tags:
-            return True
-        way = way[1]
-    return False
+def mostly_links(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
 
 
-def is_below(node: Node, top: Node, nodes: list[tuple[Node, tuple]]) -> bool:
-    way = next(above for x, above in nodes if x is node)
-    while way:
-        if way[0] is top:
-            return True
-        way = way[1]
-    return False
+def headed(node: Node) -> bool:
+    return node.tag in HEADINGS or node.tag in ("header", "hgroup") and any(not isinstance(c, str) and c.tag in HEADINGS for c in node.children)
+
+
+def keep(nodes: list[tuple[Node, tuple]], body: Node, best: Node, path: tuple, least: float) -> None:
+    """Leave in the tree the dense nodes and what stands with them."""
+    held = upwards(path)
+    whole = {best}
+    for node, above in nodes:  # parents first
+        if above and above[0] in whole or node not in held and node.tag not in INLINE and node.chars and node.density >= least:
+            whole.add(node)
+    count = dict.fromkeys((n for n, _ in nodes), 0)
+    for node, above in reversed(nodes):
+        if node in whole and not (above and above[0] in whole):
+            count[node] = 1
+        if above:
+            count[above[0]] += count[node]
+    total = count[nodes[0][0]]
+    for node, _ in nodes:
+        if node in whole or not count[node]:
+            continue
+        # In the least node that holds all dense ones, or a dense paragraph, their neighbours are text too; above it only headings before them.
+        dense = [c for c in node.children if not isinstance(c, str) and c in whole]
+        beside = bool(dense)
+        inner = all(isinstance(c, str) or count[c] < total for c in node.children) or any(c.tag in TEXT and c.tag != "section" for c in dense)
+        out, run, begun = [], [], False
+
+        def settle() -> None:
+            chars = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else c.chars for c in run)
+            if chars and inner and beside and sum(0 if isinstance(c, str) else c.link_chars + (c.tag == "a") for c in run) * 2 <= chars:
+                out.extend(run)
+            elif run:
+                out.append(Node("div", False))  # text doesn't join over what is left out
+            run.clear()
+
+        for c in node.children:
+            if isinstance(c, str) or c.tag in INLINE and not count[c]:
+                run.append(c)
+                continue
+            settle()
+            if count[c]:
+                begun = True
+                out.append(c)
+            elif headed(c) and not mostly_links(c) and (inner or not begun and node is not body) or inner and beside and not mostly_links(c) and (node is not body or c.tag in TEXT):
+                out.append(c)
+            else:
+                out.append(Node("div", False))
+        settle()
+        node.children, node.density = out, math.inf
+
+
+def main_text(page: str | None) -> str:
+    root = parse(page or "")
+    drop(root)
+    nodes = measure(root)
+    body = next((x for x, _ in nodes if x.tag == "body"), root)
+    if not body.chars:
+        return ""
+    best, path, least = densest(nodes, body)
+    keep(nodes, body, best, path, least)
+    return "\n\n".join(blocks(body, least))
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -116,6 +116,21 @@ def test_main_text(spark):
     assert density.extract(pages.where("false")).count() == 0
 
 
+def test_main_text_in_several_sections():
+    para = lambda c, n=300: f"<p>{(c + 'xyz ') * (n // 5)}</p>"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Link number {k}</a>" for k in range(8)) + "</ul>"
+    part = lambda c, n=300: para(c + "1", n) + para(c + "2", n) + para(c + "3", n)
+    wrappers = [("<div id=content>", "</div>"), ("<article>", "</article>"), ("<main><article>", "</article></main>")]
+    for begin, end in wrappers:
+        page = f"<body>{menu}{begin}<h1>Heading</h1><div class=part>{part('a')}</div><p>Short.</p>{menu}<section>{part('b')}</section><section>{part('c', 50)}</section>{end}</body>"
+        text = density.main_text(page)
+        for word in ("Heading", "Short.", *(f"{c}{k}xyz" for c in "abc" for k in (1, 2, 3))):
+            assert word in text, (begin, word)
+        assert "Link" not in text
+    text = density.main_text(f"<body>{menu}<article>{part('a')}</article><div>{part('b')}</div><div><p>{menu}</div></body>")
+    assert "a1xyz" in text and "b1xyz" in text and "Link" not in text
+
+
 def test_warc_records(spark, tmp_path):
     html = "<html><head><title>A &amp; B</title><meta charset=UTF-8></head><body><p>One<p>Two &eacute;<script>x</script><a href='/a?b'>l</a></body></html>"
     df = spark.createDataFrame([(1, "urn:uuid:1", "http://h/x", None, "HTTP/1.1 200 OK\r\nX-A: b", html), (2, None, None, None, None, None)], "key long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
