@@ -6,7 +6,9 @@ densities grows where dense blocks stand side by side. The least density on the
 the body is the threshold: that node and every other one that reaches the threshold is main text, after elements that
 say what they are (menus, headers of the page, footers, asides, forms, scripts, adverts, notices, comments) have gone.
 What stands beside those nodes and isn't mostly links, and headings before them, go with them; within them nodes of
-lower density that consist mostly of links go. Article and main elements have no say in this.
+lower density that consist mostly of links go. Article and main elements have no say in this. Class and id names are
+evidence only: nothing goes by name that holds the node of greatest sum or most of the page's text outside links (unless that is short), and
+names that may as well be an article's words (HINTS) count only for what is mostly links or both short and not dense.
 
 Cases: a null page counts as empty; a page without text gives an empty text; unclosed and stray tags are closed or
 ignored as browsers do in the common cases; equal sums go to the earlier node; repeated rows give equal rows; an empty
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellsift.llm.common import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
 # Element names of HTML.
@@ -42,12 +44,21 @@ SCOPE = frozenset("table td th caption html body article section div aside nav m
 #: Elements that are never main text.
 GONE = frozenset("nav footer aside form script style noscript iframe template svg math object embed applet select button input textarea menu dialog canvas audio video head title noframes xmp datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
-#: Parts of class and id names that say what an element is.
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion promotions nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs footer foot masthead topbar bottombar toolbar sidebar side aside "
-    "comment comments commentlist disqus respond reply replies discussion discuss cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay dialog lightbox subscribe subscription newsletter signup login signin register share sharing social follow "
-    "related recommended recommendations recommend popular trending widget widgets search searchbox pagination pager paging tags tagcloud skip toc legal copyright disclaimer paywall hidden feedback rating poll".split()
+#: Parts of class and id names that say what an element is, however much it holds.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotions nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs footer masthead topbar bottombar toolbar sidebar "
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr popup modal overlay lightbox subscribe newsletter signup login signin paywall searchbox pagination pager tagcloud toc".split()
 )
+#: Parts that are as often an article's own words; they count where an element is short and not dense, or mostly links.
+HINTS = frozenset(
+    "promotion foot side aside reply discussion discuss notice notices notification notifications alert alerts dialog subscription register share sharing social follow "
+    "related recommended recommendations recommend popular trending widget widgets search paging tags skip legal copyright disclaimer feedback rating poll".split()
+)
+#: After these a name says what its element has or lacks.
+MODIFIERS = frozenset("has with no without not".split())
+UNSEEN = frozenset("hidden is-hidden visually-hidden".split())
+#: Characters under which an element is short.
+SHORT = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks of running text.
 TEXT = HEADINGS | frozenset("p ul ol dl pre blockquote table figure section hgroup".split())
@@ -57,33 +68,56 @@ CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "gone", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "children", "gone", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+
+    def __init__(self, tag: str, gone: bool, named: int = 0):
+        self.tag, self.children, self.gone, self.named = tag, [], gone, named
+        self.clear()
 
-    def __init__(self, tag: str, gone: bool):
-        self.tag, self.children, self.gone = tag, [], gone
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element says that it isn't main text. inside: it stands in an article or main element, where a header is the text's own."""
+def named(value: str) -> int:
+    """What a class or id says of its element: 2 that it isn't main text, 1 that it may not be, 0 nothing."""
+    found = 0
+    for name in value.split():
+        if name.lower() in UNSEEN:
+            return 2
+        if ":" in name:  # a style for some screens
+            continue
+        for w in CAMEL.findall(name):
+            w = w.lower()
+            if w in MODIFIERS:
+                break
+            if w in NAMES:
+                return 2
+            if w in HINTS:
+                found = 1
+    return found
+
+
+def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element isn't main text, and what its names say. inside: it stands in an article or main element, where a header is the text's own."""
     if tag in GONE:
-        return True
+        return True, 0
     if tag == "header" and not inside:
-        return True
+        return True, 0
     if not attributes or tag in WHOLE or "=" not in attributes and "hidden" not in attributes:
-        return False
-    for m in NAMED.finditer(attributes):
+        return False, 0
+    says = 0
+    for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" and (m[2] is None or value.lower() in ("", "hidden", "true", "until-found")) or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, 0
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, 0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in WORDS for w in CAMEL.findall(value)):
-            return True
-    return False
+            return True, 0
+        if name in ("class", "id"):
+            says = max(says, named(value))
+    return False, says
 
 
 def parse(page: str) -> Node:
@@ -125,7 +159,7 @@ def parse(page: str) -> Node:
                     del stack[k:]
                     break
         inside = any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, unwanted(tag, m[3], inside))
+        node = Node(tag, *unwanted(tag, m[3], inside))
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -166,6 +200,7 @@ def measure(root: Node) -> list[tuple[Node, tuple]]:
     nodes = in_order(root)
     linked = set()
     for node, above in nodes:
+        node.clear()
         if node.tag == "a" or above and above[0] in linked:
             linked.add(node)
     for node, above in reversed(nodes):
@@ -300,6 +335,19 @@ def keep(nodes: list[tuple[Node, tuple]], body: Node, best: Node, path: tuple, l
         node.children, node.density = out, math.inf
 
 
+def dismiss(nodes: list[tuple[Node, tuple]], body: Node, best: Node, path: tuple, least: float) -> bool:
+    """Mark as gone what names speak against, but nothing that holds the best node or, unless it is short, most of the page's text outside links."""
+    safe = upwards(path) | {best}
+    text = body.chars - body.link_chars
+    some = False
+    for node, _ in nodes:
+        if not node.named or node in safe or (node.chars - node.link_chars) * 2 > text and node.chars >= SHORT:
+            continue
+        if node.named == 2 or mostly_links(node) or node.density < least and node.chars < SHORT:
+            node.gone = some = True
+    return some
+
+
 def main_text(page: str | None) -> str:
     root = parse(page or "")
     drop(root)
@@ -308,6 +356,10 @@ def main_text(page: str | None) -> str:
     if not body.chars:
         return ""
     best, path, least = densest(nodes, body)
+    if dismiss(nodes, body, best, path, least):
+        drop(root)
+        nodes = measure(root)
+        best, path, least = densest(nodes, body)
     keep(nodes, body, best, path, least)
     return "\n\n".join(blocks(body, least))
 

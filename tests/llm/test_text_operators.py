@@ -131,6 +131,19 @@ def test_main_text_in_several_sections():
     assert "a1xyz" in text and "b1xyz" in text and "Link" not in text
 
 
+def test_names_are_evidence_only():
+    para = lambda c: f"<p>{(c + 'xyz ') * 50}</p>"
+    article = "<h1>Heading</h1>" + para("a1") + para("a2") + para("a3")
+    away = '<div class="comments"><p>Readers wrote this.</p></div><div class=related><a href=x>Read another one</a></div>'
+    for names in ('class="content has-sidebar"', 'class="post-body overflow-hidden"', 'class="md:hidden"', "class=article-with-comments", "class=sidebar", "id=comments", "class=legal", "data-id='side'"):
+        text = density.main_text(f"<body><div {names}>{article}</div>{away}</body>")
+        assert all(w in text for w in ("Heading", "a1xyz", "a2xyz", "a3xyz")), names
+        assert "Readers" not in text and "another" not in text, names
+    for names in ("class=legal", "class=rating", "class=tags", "class=related-research", "class=side", "data-id='ad'", "title='a class=ad here'", "class='no-comments x'"):
+        text = density.main_text(f"<body><article>{article}<section {names}>{para('b1')}</section></article>{away}</body>")
+        assert "b1xyz" in text and "a1xyz" in text and "Readers" not in text, names
+
+
 def test_warc_records(spark, tmp_path):
     html = "<html><head><title>A &amp; B</title><meta charset=UTF-8></head><body><p>One<p>Two &eacute;<script>x</script><a href='/a?b'>l</a></body></html>"
     df = spark.createDataFrame([(1, "urn:uuid:1", "http://h/x", None, "HTTP/1.1 200 OK\r\nX-A: b", html), (2, None, None, None, None, None)], "key long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
