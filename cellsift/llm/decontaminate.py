@@ -4,14 +4,16 @@ A text becomes a row of tokens: words in lower case, and typed placeholders for
 within a sentence) and for units (a unit's word after a number). Windows of LENGTH template tokens are hashed and joined
 with those of the benchmark, so a question with other numbers and names still meets its original. What the placeholders
 stood for decides: along one alignment each value of the item must always stand for the same value of the document, and
-names and units the other way round too; alignments that break this are dropped. A pair is reported if the windows that
+names and units the other way round too; alignments that break this are dropped. Beside the template each window is
+hashed as it is, in lower case, so that an exact copy is found whatever its tokens' types and however few of them are
+words. A pair is reported if the windows that
 remain cover TOKENS tokens of the item or SHARE of it; it is `exact` if all values are the same, else `reparameterised`.
 
 Workers send only windows whose hash is in a bitmap of the benchmark's, of a fixed size however large the benchmark; the
 join itself is by hash, for any size.
 
-Cases: null and empty texts have no windows; an item shorter than a window has one window, all its tokens, and one with fewer
-than LITERALS words that aren't placeholders in a window is not searched for by it; repeated documents each get their
+Cases: null and empty texts have no windows; an item shorter than a window has one window, all its tokens; a window with
+fewer than LITERALS words that aren't placeholders is searched for as it is only, without other values; repeated documents each get their
 pairs (rows that share a doc_id get them once); repeated items each get theirs; an empty table gives an empty result;
 rows without an id are left out; further columns don't pass.
 """
@@ -83,22 +85,28 @@ def tokens(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return token, value, of[starts]
 
 
-def windows(token: np.ndarray, value: np.ndarray, of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window of so many tokens of one text, with enough words that aren't placeholders."""
+def windows(token: np.ndarray, value: np.ndarray, of: np.ndarray, length: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of each window of so many tokens of one text: plain ones of the tokens themselves, else those with enough words that aren't placeholders."""
     m = len(token) - length + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    code = np.where(token == WORD, value, token.astype(np.uint64))
-    h = np.full(m, length, np.uint64)
+    code = value if plain else np.where(token == WORD, value, token.astype(np.uint64))
+    h = np.full(m, length + plain * (1 << 32), np.uint64)
     for k in range(length):
         h = h * np.uint64(0xD1342543DE82EF95) + code[k : k + m]
-    literal = np.concatenate([[0], np.cumsum(token == WORD)])
-    good = np.flatnonzero((of[:m] == of[length - 1 :]) & (literal[length:] - literal[:m] >= min(LITERALS, length)))
+    good = of[:m] == of[length - 1 :]
+    if not plain:
+        literal = np.concatenate([[0], np.cumsum(token == WORD)])
+        count = literal[length:] - literal[:m]
+        good &= (count >= min(LITERALS, length)) & (count < length)  # without a placeholder it is what a plain one is
+    good = np.flatnonzero(good)
     return good, mix(h[good])
 
 
-def slots(token: np.ndarray, value: np.ndarray, first: np.ndarray, length: int) -> tuple[list, list]:
-    """Types and values of the placeholders of each window."""
+def slots(token: np.ndarray, value: np.ndarray, first: np.ndarray, length: int, plain: bool) -> tuple[list, list]:
+    """Types and values of the placeholders of each window; a plain one has none."""
+    if plain:
+        return [[]] * len(first), [[]] * len(first)
     types, values = [], []
     for a in first.tolist():
         own = token[a : a + length]
@@ -109,7 +117,7 @@ def slots(token: np.ndarray, value: np.ndarray, first: np.ndarray, length: int)
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """h, item_id, at, length, size, types, values: the windows of each item."""
+    """h, item_id, at, length, size, plain, types, values: the windows of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,13 +128,14 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
                 length = min(LENGTH, len(token))
                 if not length:
                     continue
-                first, h = windows(token, value, of, length)
-                for a, x, t, v in zip(first.tolist(), h.astype(np.int64).tolist(), *slots(token, value, first, length), strict=True):
-                    rows.append((x, item, a, length, len(token), t, v))
-            kinds_ = [pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds_)], names=["h", "item_id", "at", "length", "size", "item_types", "item_values"])
-
-    schema = "h bigint, item_id bigint, at bigint, length int, size int, item_types array<int>, item_values array<bigint>"
+                for plain in (False, True):
+                    first, h = windows(token, value, of, length, plain)
+                    for a, x, t, v in zip(first.tolist(), h.astype(np.int64).tolist(), *slots(token, value, first, length, plain), strict=True):
+                        rows.append((x, item, a, length, len(token), plain, t, v))
+            kinds_ = [pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds_)], names=["h", "item_id", "at", "length", "size", "plain", "item_types", "item_values"])
+
+    schema = "h bigint, item_id bigint, at bigint, length int, size int, plain boolean, item_types array<int>, item_values array<bigint>"
     narrow = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null")
     return written(narrow.mapInArrow(run, schema), "items")
 
@@ -148,7 +157,7 @@ def bitmap(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(documents: DataFrame, lengths: list[int], bits: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """h, doc_id, place, types, values of the windows whose hash the bitmap has."""
+    """h, doc_id, place, length, plain, types, values of the windows whose hash the bitmap has."""
     sent = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,19 +167,20 @@ def document_windows(documents: DataFrame, lengths: list[int], bits: np.ndarray,
             data, offsets = buffers(b.column(1))
             for i, j in spans(offsets, SPAN):
                 token, value, of = tokens(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
-                for length in lengths:
-                    first, h = windows(token, value, of, length)
+                for length, plain in [(n, p) for n in lengths for p in (False, True)]:
+                    first, h = windows(token, value, of, length, plain)
                     top = h >> np.uint64(64 - BITS)
                     hit = (known[(top >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (top & np.uint64(7)).astype(np.uint8))) & 1 > 0
                     first, h = first[hit], h[hit]
                     if not len(first):
                         continue
-                    types, values = slots(token, value, first, length)
+                    types, values = slots(token, value, first, length, plain)
                     start = np.searchsorted(of, of[first])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[i:j][of[first]]), pa.array(first - start), pa.array(np.full(len(first), length, np.int32)), pa.array(types, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names=["h", "doc_id", "place", "length", "types", "values"])
+                    same = [pa.array(np.full(len(first), length, np.int32)), pa.array(np.full(len(first), plain))]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[i:j][of[first]]), pa.array(first - start), *same, pa.array(types, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names=["h", "doc_id", "place", "length", "plain", "types", "values"])
 
     narrow = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return narrow.mapInArrow(run, "h bigint, doc_id bigint, place bigint, length int, types array<int>, values array<bigint>")
+    return narrow.mapInArrow(run, "h bigint, doc_id bigint, place bigint, length int, plain boolean, types array<int>, values array<bigint>")
 
 
 def covered(places, length):
@@ -185,9 +195,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items = item_windows(benchmark, item_id, item_text)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most LENGTH of them
     hits = document_windows(documents, lengths, bitmap(items), doc_id, text)
-    met = hits.join(items, ["h", "length"]).where(F.col("types") == F.col("item_types"))
+    met = hits.join(items, ["h", "length", "plain"]).where(F.col("types") == F.col("item_types"))
     pair = F.transform(F.arrays_zip("types", "item_values", "values"), lambda z: F.struct(z["types"].alias("t"), z["item_values"].alias("a"), z["values"].alias("b")))
-    along = met.groupBy("doc_id", "item_id", "length", "size", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+    along = met.groupBy("doc_id", "item_id", "length", "size", "plain", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     forth = F.size(F.array_distinct(F.transform("pairs", lambda z: F.struct(z["t"], z["a"]))))
     named = F.filter("pairs", lambda z: z["t"] != NUMBER)
     back = F.size(F.array_distinct(F.transform(named, lambda z: F.struct(z["t"], z["b"]))))

@@ -102,6 +102,13 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.where("false"), b).count() == decontaminate.leaks(d, b.where("false")).count() == 0
 
 
+def test_exact_copies_of_items_with_few_words(spark):
+    items = [(1, "What is 12 * 34 + 56 * 78?"), (2, "Who wrote the novel Emma"), (3, "Who Was The First King Of Old Spain"), (4, "Anna 3, Bert 5, Carl 7, Dora 9, Emil 11"), (5, "At noon Tom walks to meet Anna")]
+    docs = [(1, "So, what is 12 * 34 + 56 * 78? I ask."), (2, "asked, Who wrote the novel Emma then"), (3, "x who was the first king of old spain y"), (4, "List: Anna 3, Bert 5, Carl 7, Dora 9, Emil 11."), (5, "AT NOON TOM WALKS TO MEET ANNA"), (6, "What is 12 * 34 + 56 * 79?")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).collect()} == {(k, k, "exact") for k in range(1, 6)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
