@@ -42,3 +42,16 @@ def test_queries_equal_their_sql(spark):
         names = sorted(got.columns)
         rows = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
         assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, rows)), name
+
+
+def test_bench_names_what_its_total_leaves_out():
+    import json
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    env = {**os.environ, "BENCH_ONLY": "clusters_eq", "BENCH_SF_DIR": "/root/testdata/sf0.001", "BENCH_CPUS": "2"}
+    out = subprocess.run([sys.executable, str(root / "bench.py")], env=env, capture_output=True, text=True, check=True, timeout=120).stdout
+    assert {"op2_toxicity", "op9_co_training", "pipeline"} <= set(json.loads(out.splitlines()[-1])["left_out"])
