@@ -6,6 +6,9 @@ the state before every code point of a whole batch of texts at once, and state a
 there. The pieces are byte slices; a cache holds the ids of each, and those it lacks are merged together, a matrix
 row each. Token offsets are the running lengths of the tokens, so decoding can go back to any part of a text.
 
+Classes are those of Unicode 16, which the library's patterns use: this Python's tables where they are of 15.0 or 15.1, and
+what came after them by range. So results don't depend on a worker's Python; one with later tables is refused.
+
 Cases: a null text counts as empty and has no ids; repeated rows and equal ids give equal rows; an empty table gives an
 empty result; other columns pass untouched unless they have a name of the result, in which case the result's column wins.
 """
@@ -28,6 +31,13 @@ from cellsift.llm.common import buffers, spans, table
 
 # The white space of Unicode (White_Space).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers that Unicode 15.1 (the first range) and 16.0 added, first and last code point.
+NEW_LETTERS = [
+    (0x2EBF0, 0x2EE5D), (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Symbols. W: white space; G, X: a space and any other white space right before something else; H2, H3: the apostrophe of a contraction of so many code points.
 L, N, O, W, G, X, H2, H3 = range(8)
 #: States: what the open piece consists of. C1, C2: so many letters of a contraction are still to come. D: nothing is open.
@@ -39,6 +49,8 @@ SHORT = 32
 
 @once
 def classes() -> np.ndarray:
+    if unicodedata.unidata_version not in ("15.0.0", "15.1.0", "16.0.0"):
+        raise RuntimeError(f"token classes are of Unicode 16.0, this Python has {unicodedata.unidata_version}")
     kinds = np.full(sys.maxunicode + 1, O, np.uint8)
     for k in range(sys.maxunicode + 1):
         c = unicodedata.category(chr(k))[0]
@@ -46,6 +58,9 @@ def classes() -> np.ndarray:
             kinds[k] = L
         elif c == "N":
             kinds[k] = N
+    for kind, ranges in ((L, NEW_LETTERS), (N, NEW_NUMBERS)):
+        for first, last in ranges:
+            kinds[first : last + 1] = kind
     kinds[WHITE_SPACE] = W
     return kinds
 

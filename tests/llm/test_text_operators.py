@@ -45,6 +45,24 @@ def test_bpe_equals_tiktoken(spark, ranks):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
+def test_every_code_point_is_split_as_tiktoken_splits_it():
+    """Beside a letter, a digit, a sign and a space: with single bytes as the only tokens but the neighbour joined to a first byte, ids tell the pieces."""
+    import public_tokenizers
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    leads = sorted({chr(k).encode()[0] for k in points})
+    for beside in "a1! ":
+        vocabulary = single | {beside.encode() + bytes([b]): 256 + k for k, b in enumerate(leads)}
+        other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+        own = bpe.ByteBPE(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in vocabulary.items()))
+        # Each between line breaks, which belong to no piece with it but where it is white space itself.
+        for a in range(0, len(points), 1 << 16):
+            text = "".join(f"{beside}{chr(k)}{beside}\n" for k in points[a : a + (1 << 16)])
+            assert np.frombuffer(next(own.encode(pa.array([text]))), "<u4").tolist() == other.encode_ordinary(text), (beside, hex(points[a]))
+
+
 def test_bpe_round_trip_keeps_columns(spark):
     df = frame(spark)
     coded = bpe.encode(df, bpe.vocabulary())
