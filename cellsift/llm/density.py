@@ -4,14 +4,16 @@ A page is read into a tree; every node gets its characters per tag, adjusted by
 links: density = C/T * log_b(C/LC * T/LT), b = ln(C/(C-LC) * LC + LC_page/C_page * C + e). A node's sum of its children's
 densities grows where dense blocks stand side by side. The least density on the path from the node of greatest sum to
 the body is the threshold: that node and every other one that reaches the threshold is main text, after elements that
-say what they are (menus, headers of the page, footers, asides, forms, scripts, adverts, notices, comments) have gone.
+say what they are (menus, headers of the page, footers, asides, forms that don't hold the page, scripts, adverts, notices, comments) have gone.
 What stands beside those nodes and isn't mostly links, and headings before them, go with them; within them nodes of
 lower density that consist mostly of links go. Article and main elements have no say in this. Class and id names are
 evidence only: nothing goes by name that holds the node of greatest sum or most of the page's text outside links (unless that is short), and
 names that may as well be an article's words (HINTS) count only for what is mostly links or both short and not dense.
 
-Cases: a null page counts as empty; a page without text gives an empty text; unclosed and stray tags are closed or
-ignored as browsers do in the common cases; equal sums go to the earlier node; repeated rows give equal rows; an empty
+Reading a page takes time in proportion to its length, however its tags nest or break.
+
+Cases: a null page counts as empty; a page without text gives an empty text; a very long one is read whole; unclosed and
+stray tags are closed or ignored as browsers do in the common cases, and a tag that the page ends in is dropped; equal sums go to the earlier node; repeated rows give equal rows; an empty
 table gives an empty result; further columns don't pass.
 """
 
@@ -20,15 +22,16 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cellsift.llm.common import table
+from cellsift.llm.markup import CLOSE, INNER, TEXT as WORDS, attributes, scan
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
 # Element names of HTML.
@@ -42,7 +45,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 WALLS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 SCOPE = frozenset("table td th caption html body article section div aside nav main footer header form button li dd dt blockquote".split())
 #: Elements that are never main text.
-GONE = frozenset("nav footer aside form script style noscript iframe template svg math object embed applet select button input textarea menu dialog canvas audio video head title noframes xmp datalist map".split())
+GONE = frozenset("nav footer aside script style noscript iframe template svg math object embed applet select button input textarea menu dialog canvas audio video head title noframes xmp datalist map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
 #: Parts of class and id names that say what an element is, however much it holds.
 NAMES = frozenset(
@@ -98,19 +101,20 @@ def named(value: str) -> int:
     return found
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
+def unwanted(tag: str, text: str, inside: bool) -> tuple[bool, int]:
     """Whether an element isn't main text, and what its names say. inside: it stands in an article or main element, where a header is the text's own."""
     if tag in GONE:
         return True, 0
     if tag == "header" and not inside:
         return True, 0
-    if not attributes or tag in WHOLE or "=" not in attributes and "hidden" not in attributes:
-        return False, 0
-    says = 0
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and (m[2] is None or value.lower() in ("", "hidden", "true", "until-found")) or name == "aria-hidden" and value.lower() == "true":
+    says = 2 if tag == "form" else 0  # some pages stand in one as a whole
+    if not text or tag in WHOLE or "=" not in text and "hidden" not in text:
+        return False, says
+    for name, value in attributes(text):
+        if name == "hidden" and (value is None or value.lower() in ("", "hidden", "true", "until-found")) or name == "aria-hidden" and value is not None and value.lower() == "true":
             return True, 0
+        if value is None:
+            continue
         if name == "role" and value.lower() in ROLES:
             return True, 0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -120,61 +124,61 @@ def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     return False, says
 
 
+class Open:
+    """The open elements, with the depths of those of each name, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.scopes = [root], [0]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all within it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, *tags: str) -> int:
+        """Depth of the innermost of these; 0 if none is open."""
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
+    def close(self, tag: str) -> None:
+        wall = self.scopes[-1] if tag in INLINE else self.last("article", "section", "main", "table", "body") if tag in ("p", "li", "td", "th", "dd", "dt") else 0
+        if self.last(tag) > wall:
+            self.cut(self.last(tag))
+
+    def make_way(self, tag: str) -> None:
+        """Close what ends where this element begins."""
+        if tag in CLOSES_P and self.last("p") > self.scopes[-1]:
+            self.cut(self.last("p"))
+        if tag in ENDS:
+            wall = self.last(*WALLS[tag])
+            over = [d[k] for t in ENDS[tag] if (d := self.depths[t]) and (k := bisect_right(d, wall)) < len(d)]
+            if over:
+                self.cut(min(over))
+
+
 def parse(page: str) -> Node:
     root = Node("#page", False)
-    stack, at, n, low = [root], 0, len(page), None
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag in SCOPE or tag in ("p", "li", "td", "th", "dd", "dt") and stack[k].tag in ("article", "section", "main", "table", "body"):
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
-        if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in WALLS[tag]:
-                    break
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                    break
-        inside = any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, *unwanted(tag, m[3], inside))
-        stack[-1].children.append(node)
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            at = n if end < 0 else end
-            continue
-        if not (m[3].endswith("/") and tag not in BLOCK and tag not in INLINE):
-            stack.append(node)
-    if at < n:
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page breaks off in
-        stack[-1].children.append(rest[: cut.start()] if cut else rest)
+    open_ = Open(root)
+    for kind, tag, value in scan(page, RAW):
+        if kind == WORDS:
+            open_.stack[-1].children.append(value)
+        elif kind == CLOSE:
+            open_.close(tag)
+        elif kind != INNER:
+            open_.make_way(tag)
+            node = Node(tag, *unwanted(tag, value, bool(open_.last("article", "main"))))
+            open_.stack[-1].children.append(node)
+            if tag not in VOID and tag not in RAW and not (value.endswith("/") and tag not in BLOCK and tag not in INLINE):
+                open_.push(node)
     return root
 
 

@@ -2,15 +2,19 @@
 
 import base64
 import hashlib
+import html
+import math
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cellsift.llm import bpe, density, langid, shards, warc
+from cellsift.llm import bpe, density, langid, markup, shards, warc
 
 TEXTS = ["", None, " ", "it's  we'll 'store\n\n x", "é漢字 ½ 123 4", "a" * 300, "word " * 2000, "'", "don't\t\r\n!!?? 's", "x  ", "same", "same"]
 
@@ -162,15 +166,180 @@ def test_names_are_evidence_only():
         assert "b1xyz" in text and "a1xyz" in text and "Readers" not in text, names
 
 
+class Reader(HTMLParser):
+    """Another reader of pages: text, tags and raw content in order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.found = []
+
+    def add(self, text):
+        if self.found and self.found[-1][0] == markup.TEXT:
+            self.found[-1][2] += text
+        else:
+            self.found.append([markup.TEXT, "", text])
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append([markup.OPEN, tag, [(k, v) for k, v in attrs]])
+        if tag in ("script", "style"):
+            self.found.append([markup.INNER, tag, ""])
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        self.found.append([markup.CLOSE, tag, ""])
+
+    def handle_data(self, data):
+        if self.found and self.found[-1][0] == markup.INNER:
+            self.found[-1][2] += data
+        else:
+            self.add(data)
+
+    def handle_entityref(self, name):
+        self.add(f"&{name};")
+
+    def handle_charref(self, name):
+        self.add(f"&#{name};")
+
+
+def test_pages_are_read_as_another_parser_reads_them():
+    rng = random.Random(5)
+    parts = ["<p>", "</p>", "<DIV class='a b' id=x>", "</div >", "text &amp; more ", "<!-- <p> -->", "<script>if (a<b) x='</p>';</script>", "<a href=\"/q?a=1&b=2\" title='1 > 0'>", "</a>", "<br/>", "İ a < b ", "<style>p > a {}</style>", "<!doctype html>", "<img alt='' src=u>", "\n", "<input disabled value>"]
+    for _ in range(400):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 30)))
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        got = []
+        for kind, tag, value in markup.scan(page, frozenset(("script", "style"))):
+            if kind == markup.TEXT and got and got[-1][0] == markup.TEXT:
+                got[-1][2] += value
+            else:
+                got.append([kind, tag, [(k, None if v is None else html.unescape(v)) for k, v in markup.attributes(value)] if kind == markup.OPEN else value])
+        assert got == reader.found, page
+
+
+def plain_densities(page):
+    """Density and sum of every element, by recursion and the formulas, on a well-formed page."""
+    from xml.etree import ElementTree
+
+    def size(text):
+        return len(" ".join((text or "").split()))
+
+    def count(e, linked):
+        linked = linked or e.tag == "a"
+        c = size(e.text) + sum(size(x.tail) for x in e)
+        lc, t, lt = (c if linked else 0), 0, 0
+        for x in e:
+            own = count(x, linked)
+            c, lc, t, lt = c + own[0], lc + own[1], t + own[2] + 1, lt + own[3] + (x.tag == "a")
+        seen[e] = c, lc, t, lt
+        return seen[e]
+
+    seen = {}
+    root = ElementTree.fromstring(page)
+    count(root, False)
+    share = seen[root][1] / seen[root][0]
+    density = {}
+    for e, (c, lc, t, lt) in seen.items():
+        t, lt = max(t, 1), max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c else 0
+        density[e] = 0.0 if not c else max(0.0, c / t * math.log(c / max(lc, 1) * t / lt) / math.log(base)) if base > 1 else c / t
+    return [(e.tag, density[e], sum(density[x] for x in e)) for e in root.iter()]
+
+
+def test_densities_are_the_formulas():
+    rng = random.Random(6)
+
+    def made(depth):
+        if not depth or rng.random() < 0.2:
+            return "words " * rng.randint(0, 9)
+        tag = rng.choice(["div", "section", "a", "b", "article"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        page = "<body>x y" + made(5) + made(4) + "</body>"
+        nodes = [n for n, _ in density.measure(density.parse(page)) if n.tag != "#page"]
+        for n, (tag, d, total) in zip(nodes, plain_densities(page), strict=True):
+            assert n.tag == tag and math.isclose(n.density, d, abs_tol=1e-9) and math.isclose(n.sum, total, abs_tol=1e-9), page
+
+
+@pytest.mark.parametrize("part", ["<b>", '<a "', '<a x="', "<div>x", "<!-- ", "< ", "<title>", "<ul><li>", "<b><table></b>", "<p>x", "<p><button><b><div></div>", "&", "<meta "])
+def test_hostile_pages_take_time_in_proportion(part):
+    def seconds(n):
+        begun = time.process_time()
+        density.main_text("<body>" + part * (n // len(part)))
+        warc.derive("i", "u", None, None, part * (n // len(part)))
+        return time.process_time() - begun
+
+    seconds(1000)
+    assert seconds(200_000) < 8 * max(seconds(50_000), 0.1)
+
+
+def test_case_of_letters_moves_nothing():
+    text = density.main_text("<body>" + "İ" * 50 + "<SCRIPT>var a = '</p>'</Script><div><p>the lazy dog and more of the article</p></div></body>")
+    assert text == "İ" * 50 + "\n\nthe lazy dog and more of the article"
+
+
+def test_a_page_within_a_form():
+    para = "<p>" + "long words of an article " * 12 + "</p>"
+    text = density.main_text(f"<body><form id=all><div><h1>Heading</h1>{para * 3}</div><div><form action=/s><p>Search here</p><input></form></div></form></body>")
+    assert text.startswith("Heading") and text.count("article") == 36
+    assert density.main_text(f"<body><div>{para * 3}</div><form><p>Your name and address</p></form></body>").count("Your") == 0
+
+
+def test_two_captures_of_an_address_have_ids_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "<p>a", 5), (1, "http://h/", "<p>b", 6), (1, "http://h/", "<p>b", 6), (None, None, None, None)], "page_id long, url string, html string, header int")
+    rows = warc.derivatives(warc.responses_of(pages)).collect()
+    assert len(rows) == 8 and len({r.refers_to for r in rows}) == 3 and len({r.record_id for r in rows}) == 6
+    for r in rows:
+        assert f"WARC-Refers-To-Payload-Digest: {r.source_payload_digest}" in r.header and f"WARC-Refers-To-Block-Digest: {r.source_block_digest}" in r.header
+        assert "WARC-Refers-To-HTTP-Header: Content-Type: text/html; charset=utf-8" in r.header
+
+
+def test_warc_text_and_links_by_another_parser():
+    rng = random.Random(8)
+    parts = ["<p>", "</p>", "<div>", "</div>", "some words ", "<b>bold</b> ", "&eacute; &lt;", "<script>x<y</script>", "<a href='/l%d'>link</a>", "<img src=i%d.png>", "<br>", "\n", "<!-- c -->", "<title>T</title>"]
+    for _ in range(200):
+        page = "".join(x % k if "%d" in x else x for k, x in enumerate(rng.choices(parts, k=rng.randint(0, 25))))
+        lines, links, inside = [""], [], None
+
+        class Own(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                nonlocal inside
+                if tag in warc.BREAKS:
+                    lines.append("")
+                if tag in ("script", "title"):
+                    inside = tag
+                for k, v in attrs:
+                    if (tag, k) in (("a", "href"), ("img", "src")):
+                        links.append(f"http://h/{v.strip('/')} {'L' if tag == 'a' else 'E'} {tag}/@{k}")
+
+            def handle_endtag(self, tag):
+                nonlocal inside
+                if tag in warc.BREAKS:
+                    lines.append("")
+                if tag == inside:
+                    inside = None
+
+            def handle_data(self, data):
+                if not inside:
+                    lines[-1] += data
+
+        Own().feed(page + " ")
+        read = warc.Page(page, "http://h/")
+        assert read.text == "\n".join(x for x in (" ".join(line.split()) for line in lines) if x) and read.links == list(dict.fromkeys(links)), page
+
+
 def test_warc_records(spark, tmp_path):
-    html = "<html><head><title>A &amp; B</title><meta charset=UTF-8></head><body><p>One<p>Two &eacute;<script>x</script><a href='/a?b'>l</a></body></html>"
-    df = spark.createDataFrame([(1, "urn:uuid:1", "http://h/x", None, "HTTP/1.1 200 OK\r\nX-A: b", html), (2, None, None, None, None, None)], "key long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
+    page = "<html><head><title>A &amp; B</title><meta charset=UTF-8></head><body><p>One<p>Two &eacute;<script>x</script><a href='/a?b'>l</a></body></html>"
+    df = spark.createDataFrame([(1, "urn:uuid:1", "http://h/x", None, "HTTP/1.1 200 OK\r\nX-A: b", page), (2, None, None, None, None, None)], "key long, record_id string, target_uri string, warc_date string, http_headers string, payload string")
     rows = {(r.key, r.warc_type): r for r in warc.derivatives(df).collect()}
     assert len(rows) == 4
     meta, text = rows[1, "metadata"], rows[1, "conversion"]
     assert text.block == "One\nTwo él" and "title: A & B" in meta.block and "outlink: http://h/a?b L a/@href" in meta.block and "http-header: X-A: b" in meta.block
     sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
-    assert meta.source_payload_digest == text.source_payload_digest == sha(html.encode()) and text.block_digest == sha(text.block.encode())
+    assert meta.source_payload_digest == text.source_payload_digest == sha(page.encode()) and text.block_digest == sha(text.block.encode())
     assert f"WARC-Refers-To: <{text.refers_to}>" in text.header and text.refers_to == "urn:uuid:1" and f"<{text.record_id}>" in meta.header
     assert rows[2, "conversion"].block == "" and rows[2, "conversion"].target_uri is None
     warc.write(warc.derivatives(df).coalesce(1), str(tmp_path / "w"))
