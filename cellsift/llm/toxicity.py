@@ -1,13 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (operator 2), written and trained in numpy.
 
-Inputs: for each word a hashed word vector, the mean of the vectors of its hashed character n-grams, and the log odds of
-word and n-grams in the training rows; while training, a document's own count is left out of them. Two gated recurrent layers read a window of WINDOW words forwards and backwards,
-attention pools their states, and a logistic unit gives the window's logit. A document's windows overlap by half; all are
-scored, over the whole text, and the largest logit is calibrated to the document's score.
-
-Training: at most PER_CLASS labelled documents of each class (a documented bound). A toxic document teaches by the
-window that holds its most telling word, a clean one by its most suspicious windows and one other; then the network
-chooses those windows itself and learns once more. Rows of the tables with few training documents stay zero.
+Inputs of a word: a learned vector of the hashed word, and the mean of the learned vectors of its hashed character n-grams
+(3 to 6 characters, the word's ends marked). Nothing else, no count and no odds of the training rows, reaches the network.
+Two gated recurrent layers read a window of WINDOW words forwards and backwards, attention pools their states, and a
+logistic unit gives the window's logit. A document's windows overlap; all are scored, over the whole text, and the largest
+logit is calibrated to the document's score.
+
+Training: at most PER_CLASS labelled documents of each class, of a longer one LESSONS windows chosen by a hash (documented
+bounds). Workers turn the documents into packed windows; one task fits the network and gives back its parameters, so the
+driver sees neither texts nor windows. A fifth of the documents, by a hash, is kept for calibration and never fitted on.
+First the inputs are trained alone, as a soft maximum over a document's words; then the network learns from each
+toxic document's most toxic window and each clean one's most toxic and some other windows, which it chooses anew each round.
 
 Cases: a null or empty text, or one without letters, is scored as an empty window; without training rows of both classes
 the score is the share of toxic ones (0 if there are none); repeated rows get equal scores; an empty table gives an empty
@@ -16,6 +19,7 @@ result; further columns don't pass.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +31,19 @@ from cellsift.llm.common import buffers, filtered, mix, spans, table
 from cellsift.llm.langid import letters
 from cellsift.llm.sample import fold, labelled
 
-WINDOW, STRIDE = 32, 16
-WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 15, 1 << 16, (3, 5)
-WORD_DIM, GRAM_DIM, EXTRA, HIDDEN, ATTEND = 6, 6, 3, 8, 8
-INPUT = WORD_DIM + GRAM_DIM + EXTRA
-PER_CLASS, EPOCHS, STEPS, BATCH, RATE, TABLE_RATE, SUPPORT = 2000, 3, 250, 256, 0.05, 0.01, 5
-SPAN, AT_ONCE = 1 << 19, 2048
+WINDOW, STRIDE = 32, 24
+WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 15, 1 << 16, (3, 4, 5, 6)
+WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 12, 12
+INPUT = WORD_DIM + GRAM_DIM
+#: Bounds of the training sample: documents of each class, windows of a document.
+PER_CLASS, LESSONS = 2000, 64
+#: Share kept for calibration; documents that a row of a table needs to be learned.
+KEPT, SUPPORT = 0.2, 4
+#: Of the inputs alone: steps over all documents, rate, decay, and the weight of n-grams beside words.
+STEPS, FIRST_RATE, DECAY, GRAM_WEIGHT = 120, 0.4, 1e-5, 4.0
+#: Of the network: rounds of choosing windows, windows of a step, least steps of a round, rates, share of words left out, windows of a clean document: the most toxic ones and others.
+ROUNDS, BATCH, LEAST_STEPS, RATE, TABLE_RATE, LEFT_OUT, WORST, OTHERS = 2, 128, 60, 0.05, 0.02, 0.1, 2, 2
+SPAN, AT_ONCE = 1 << 19, 1024
 
 
 class Words:
@@ -54,12 +65,12 @@ class Words:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(low) * up[:-1])])
         code = mix((total[ends] - total[starts]) * down[starts])
         distinct, at, self.word = np.unique(code, return_index=True, return_inverse=True)
-        self.word = self.word.ravel()
-        self.row = (distinct >> np.uint64(40)).astype(np.int64) & (WORD_ROWS - 1)
+        self.code, self.word = distinct, self.word.ravel()
+        self.row = word_rows(distinct)
         # N-grams of the distinct words, a mark (1) on either side.
         first, length = starts[at], ends[at] - starts[at]
         size = length + 2
-        self.gram, self.gram_at = [], []
+        self.gram, self.gram_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(size):
             return
         begins = np.cumsum(size) - size
@@ -68,6 +79,7 @@ class Words:
         marked = np.ones(len(own), np.uint64)
         body = (inner > 0) & (inner <= length[own])
         marked[body] = low[(first[own] + inner - 1)[body]]
+        grams, at = [], []
         for n in GRAMS:
             m = len(marked) - n + 1
             if m <= 0:
@@ -76,12 +88,12 @@ class Words:
             h = np.full(len(whole), n, np.uint64)
             for k in range(n):
                 h = h * np.uint64(0xD1342543DE82EF95) + marked[whole + k]
-            self.gram.append((mix(h) >> np.uint64(40)).astype(np.int64) & (GRAM_ROWS - 1))
-            self.gram_at.append(own[whole])
-        gram, gram_at = np.concatenate(self.gram), np.concatenate(self.gram_at)
-        order = np.argsort(gram_at, kind="stable")
-        self.gram, self.gram_at = gram[order], gram_at[order]
-        self.gram_start = np.searchsorted(self.gram_at, np.arange(len(self.row)))
+            grams.append((mix(h) >> np.uint64(40)).astype(np.int64) & (GRAM_ROWS - 1))
+            at.append(own[whole])
+        gram, at = np.concatenate(grams), np.concatenate(at)
+        self.gram = gram[np.argsort(at, kind="stable")]
+        count = np.bincount(at, minlength=len(size))  # a letter and two marks have one n-gram at least
+        self.gram_start = np.cumsum(count) - count
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words of each window (-1 beyond the text's end), and each window's text. An empty text has one empty window."""
@@ -94,222 +106,296 @@ class Words:
         return np.where(index >= 0, self.word[index], -1) if len(self.word) else np.full(index.shape, -1), text
 
 
+def word_rows(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(40)).astype(np.int64) & (WORD_ROWS - 1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Network:
+    """Parameters, logits and gradients. Arrays of both directions lead with an axis of two, the second one reversed in time."""
+
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        f = lambda *s, scale=0.3: (rng.standard_normal(s) * scale).astype(np.float32)
+        f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         h = HIDDEN
-        self.p = {"words": f(WORD_ROWS, WORD_DIM, scale=0.05), "grams": f(GRAM_ROWS, GRAM_DIM, scale=0.05)}
-        for side in ("f", "b"):
-            self.p |= {"W" + side: f(INPUT, 3 * h), "c" + side: np.zeros(3 * h, np.float32), "U" + side: f(h, 3 * h)}
-        self.p |= {"A": f(2 * h, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND), "o": f(2 * h), "k": np.zeros(1, np.float32)}
-        # Log odds by all training documents, and with one clean or one toxic document less.
-        self.word_odds, self.gram_odds = np.zeros((3, WORD_ROWS), np.float32), np.zeros((3, GRAM_ROWS), np.float32)
-        self.slope, self.shift, self.constant, self.known = 1.0, 0.0, None, {}
-
-    def inputs(self, words: Words, side: np.ndarray | int = 0) -> np.ndarray:
-        """Vectors of the distinct words. side: which log odds, 0 but for training documents."""
-        if not len(words.row):
+        self.p = {
+            "words": f(WORD_ROWS, WORD_DIM, scale=0.05), "grams": f(GRAM_ROWS, GRAM_DIM, scale=0.05),
+            "W": f(2, INPUT, 3 * h, scale=INPUT**-0.5), "c": np.zeros((2, 1, 3 * h), np.float32), "U": f(2, h, 3 * h, scale=h**-0.5),
+            "A": f(2 * h, ATTEND, scale=(2 * h) ** -0.5), "a": np.zeros(ATTEND, np.float32), "v": f(ATTEND, scale=ATTEND**-0.5), "o": f(2 * h, scale=(2 * h) ** -0.5), "k": np.full(1, -1, np.float32),
+        }
+        self.slope, self.shift, self.constant = 1.0, 0.0, None
+
+    def inputs(self, row: np.ndarray, gram: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Vectors of distinct words, from their rows and n-grams."""
+        if not len(row):
             return np.zeros((0, INPUT), np.float32)
-        n = np.diff(np.append(words.gram_start, len(words.gram)))
-        mean = np.add.reduceat(self.p["grams"][words.gram], words.gram_start) / n[:, None]
-        odds = self.gram_odds[side, words.gram] if isinstance(side, int) else self.gram_odds[np.repeat(side, n), words.gram]
-        extra = np.stack([self.word_odds[side, words.row], np.maximum.reduceat(odds, words.gram_start), np.add.reduceat(odds, words.gram_start) / n], 1)
-        return np.concatenate([self.p["words"][words.row], mean, extra], 1).astype(np.float32)
-
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
-        """States of one direction: x (windows, steps, 3 H) projected inputs."""
-        b, t, h = x.shape[0], x.shape[1], HIDDEN
-        u, state, out, kept = self.p["U" + side], np.zeros((b, h), np.float32), np.zeros((b, t, h), np.float32), {}
-        for k in range(t) if side == "f" else range(t - 1, -1, -1):
-            g = state @ u
-            zr = 1 / (1 + np.exp(-(x[:, k, : 2 * h] + g[:, : 2 * h])))
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(x[:, k, 2 * h :] + r * g[:, 2 * h :])
-            m = mask[:, k, None]
+        count = np.diff(np.append(start, len(gram)))
+        return np.concatenate([self.p["words"][row], np.add.reduceat(self.p["grams"][gram], start) / count[:, None]], 1).astype(self.p["W"].dtype)
+
+    def projected(self, inputs: np.ndarray) -> np.ndarray:
+        """Inputs of the gates by word, for either direction; the last row is for no word."""
+        out = np.zeros((2, len(inputs) + 1, 3 * HIDDEN), self.p["W"].dtype)
+        out[:, :-1] = inputs @ self.p["W"] + self.p["c"]
+        return out
+
+    def logits(self, projected: np.ndarray, index: np.ndarray, keep: bool = False):
+        """Logits of windows (indices of words, -1 for none)."""
+        p, h, at = self.p, HIDDEN, index.T
+        there = (at >= 0).astype(projected.dtype)
+        mask = np.stack([there, there[::-1]])[..., None]
+        state, states, kept = np.zeros((2, len(index), h), there.dtype), np.empty((2, *at.shape, h), there.dtype), []
+        for k in range(len(at)):
+            x = np.stack([projected[0][at[k]], projected[1][at[-1 - k]]])
+            g = state @ p["U"]
+            zr = 1 / (1 + np.exp(-(x[..., : 2 * h] + g[..., : 2 * h])))
+            z, r = zr[..., :h], zr[..., h:]
+            n = np.tanh(x[..., 2 * h :] + r * g[..., 2 * h :])
             if keep:
-                kept[k] = (state, z, r, n, g[:, 2 * h :], m)
-            state = state + m * (1 - z) * (n - state)
-            out[:, k] = state
-        return out, kept
-
-    def logits(self, table_: dict[str, np.ndarray], index: np.ndarray, keep: bool = False):
-        """Logits of windows; table_: projected inputs of the distinct words for either direction, with a row of zeros at the end."""
-        mask = (index >= 0).astype(np.float32)
-        states, kept = [], {}
-        for side in ("f", "b"):
-            s, kept[side] = self.run(table_[side][index], mask, side, keep)
-            states.append(s)
-        s = np.concatenate(states, 2)
-        act = np.tanh(s @ self.p["A"] + self.p["a"])
-        e = np.where(mask > 0, act @ self.p["v"], -1e9)
-        w = np.exp(e - e.max(1, keepdims=True)) * mask
-        w /= np.maximum(w.sum(1, keepdims=True), 1e-9)
-        pooled = np.einsum("bt,bth->bh", w, s)
-        out = pooled @ self.p["o"] + self.p["k"][0]
+                kept.append((state, z, r, n, g[..., 2 * h :]))
+            state = state + mask[:, k] * (1 - z) * (n - state)
+            states[:, k] = state
+        s = np.concatenate([states[0], states[1][::-1]], 2)
+        act = np.tanh(s @ p["A"] + p["a"])
+        e = act @ p["v"] - 1e4 * (1 - there)
+        w = np.exp(e - e.max(0)) * there
+        w /= np.maximum(w.sum(0), 1e-9)
+        pooled = (w[..., None] * s).sum(0)
+        out = pooled @ p["o"] + p["k"][0]
         return (out, (mask, kept, s, act, w, pooled)) if keep else out
 
-    def projected(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
-        return {side: np.concatenate([inputs @ self.p["W" + side] + self.p["c" + side], np.zeros((1, 3 * HIDDEN), np.float32)]) for side in ("f", "b")}
-
     def gradients(self, inputs: np.ndarray, index: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the weighted logistic loss by parameter, and by the words' vectors."""
+        """Gradients of the mean weighted logistic loss by parameter, and by the words' vectors."""
         p, h = self.p, HIDDEN
         out, (mask, kept, s, act, w, pooled) = self.logits(self.projected(inputs), index, keep=True)
-        d = ((sigmoid(out) - target) * weight / len(target)).astype(np.float32)
-        g = {"o": pooled.T @ d, "k": np.array([d.sum()], np.float32)}
+        d = ((sigmoid(out) - target) * weight / len(target)).astype(p["W"].dtype)
+        g = {"o": pooled.T @ d, "k": np.array([d.sum()])}
         dpool = d[:, None] * p["o"]
-        dw = np.einsum("bh,bth->bt", dpool, s)
-        de = w * (dw - (w * dw).sum(1, keepdims=True))
-        dact = de[:, :, None] * p["v"] * (1 - act * act)
-        g |= {"v": np.einsum("bt,bta->a", de, act), "A": np.einsum("bth,bta->ha", s, dact), "a": dact.sum((0, 1))}
-        ds = w[:, :, None] * dpool[:, None, :] + dact @ p["A"].T
-        dinputs = np.zeros((len(inputs) + 1, INPUT), np.float32)
-        x = np.concatenate([inputs, np.zeros((1, INPUT), np.float32)])[index]
-        for j, side in enumerate(("f", "b")):
-            u, dh, dx, du = p["U" + side], np.zeros((len(index), h), np.float32), np.zeros((*index.shape, 3 * h), np.float32), np.zeros((h, 3 * h), np.float32)
-            for k in range(index.shape[1] - 1, -1, -1) if side == "f" else range(index.shape[1]):
-                state, z, r, n, gn, m = kept[side][k]
-                dh = dh + ds[:, k, j * h : (j + 1) * h]
-                dm = dh * m
-                dn, dz = dm * (1 - z) * (1 - n * n), dm * (state - n) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                dx[:, k] = np.concatenate([dz, dr, dn], 1)
-                dg = np.concatenate([dz, dr, dn * r], 1)
-                du += state.T @ dg
-                dh = dh * (1 - m) + dm * z + dg @ u.T
-            dx *= mask[:, :, None]
-            g |= {"U" + side: du, "W" + side: np.einsum("bti,btg->ig", x, dx), "c" + side: dx.sum((0, 1))}
-            np.add.at(dinputs, index, dx @ p["W" + side].T)
-        return g, dinputs[:-1]
-
-    def fit(self, words: Words, side: np.ndarray, index: np.ndarray, target: np.ndarray, seed: int = 11) -> None:
-        rng, acc = np.random.default_rng(seed), {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
-        share = target.mean()
-        weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        n_gram = np.diff(np.append(words.gram_start, len(words.gram)))
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(index)))):  # few rows are seen more often
-            order = rng.permutation(len(index))
-            for a in range(0, len(order), BATCH):
-                rows = order[a : a + BATCH]
-                used, local = np.unique(index[rows], return_inverse=True)
-                local = local.reshape(len(rows), -1) - (used[0] < 0)
-                used = used[used >= 0]
-                part = object.__new__(Words)
-                part.row = words.row[used]
-                size = n_gram[used]
-                part.gram_start = np.cumsum(size) - size
-                part.gram_at = np.repeat(np.arange(len(used)), size)
-                part.gram = words.gram[np.repeat(words.gram_start[used] - part.gram_start, size) + np.arange(int(size.sum()))]
-                g, by_word = self.gradients(self.inputs(part, side[used]), local, target[rows], weight[rows])
-                for name, grad in g.items():
-                    acc[name] += grad * grad
-                    self.p[name] -= RATE * grad / np.sqrt(acc[name])
-                for name, at, grad in (("words", part.row, by_word[:, :WORD_DIM]), ("grams", part.gram, (by_word[:, WORD_DIM : WORD_DIM + GRAM_DIM] / np.maximum(size, 1)[:, None])[part.gram_at])):
-                    rows_, inverse = np.unique(at, return_inverse=True)
-                    total = np.zeros((len(rows_), grad.shape[1]), np.float32)
-                    np.add.at(total, inverse.ravel(), grad)
-                    total *= self.known[name][rows_, None]
-                    acc[name][rows_] += total * total
-                    self.p[name][rows_] -= TABLE_RATE * total / np.sqrt(acc[name][rows_])
-
-    def document_logits(self, column: pa.Array, label: np.ndarray | None = None) -> np.ndarray:
-        """The largest logit of each text's windows. label: of training documents, each of which is then left out of its odds."""
-        if label is not None:
-            return np.array([self.window_logits(Words(*one), 1 + int(label[d])).max() for d, one in enumerate(single(column))], np.float32)
+        dw = (s * dpool).sum(2)
+        de = w * (dw - (w * dw).sum(0))
+        dact = de[..., None] * p["v"] * (1 - act * act)
+        g |= {"v": np.einsum("tb,tba->a", de, act), "A": s.reshape(-1, 2 * h).T @ dact.reshape(-1, ATTEND), "a": dact.sum((0, 1))}
+        ds = w[..., None] * dpool + dact @ p["A"].T
+        ds = np.stack([ds[..., :h], ds[::-1, :, h:]])
+        carry, dx, du, back = np.zeros_like(ds[:, 0]), np.empty((*ds.shape[:3], 3 * h), ds.dtype), np.zeros_like(p["U"]), p["U"].transpose(0, 2, 1)
+        for k in range(ds.shape[1] - 1, -1, -1):
+            state, z, r, n, gn = kept[k]
+            carry = carry + ds[:, k]
+            dm = carry * mask[:, k]
+            dn, dz = dm * (1 - z) * (1 - n * n), dm * (state - n) * z * (1 - z)
+            dr = dn * gn * r * (1 - r)
+            dx[:, k] = np.concatenate([dz, dr, dn], 2)
+            dg = np.concatenate([dz, dr, dn * r], 2)
+            du += state.transpose(0, 2, 1) @ dg
+            carry = carry * (1 - mask[:, k]) + dm * z + dg @ back
+        dx *= mask
+        by_word = np.zeros((2, len(inputs) + 1, 3 * h), dx.dtype)
+        for j, at in enumerate((index.T, index.T[::-1])):
+            rows, total = summed(at.ravel(), dx[j].reshape(-1, 3 * h))
+            by_word[j][rows] = total
+        by_word = by_word[:, :-1]
+        g |= {"U": du, "W": inputs.T @ by_word, "c": by_word.sum(1, keepdims=True)}
+        return g, (by_word @ p["W"].transpose(0, 2, 1)).sum(0)
+
+    def window_logits(self, projected: np.ndarray, index: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.logits(projected, index[a : a + AT_ONCE]) for a in range(0, len(index), AT_ONCE)] or [np.zeros(0, np.float32)])
+
+    def document_logits(self, column: pa.Array) -> np.ndarray:
+        """The largest logit of each text's windows."""
         data, offsets = buffers(column)
         out = np.full(len(column), -np.inf, np.float32)
         for i, j in spans(offsets, SPAN):
             words = Words(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], j - i)
-            projected = self.projected(self.inputs(words))
             index, text = words.windows()
-            for a in range(0, len(index), AT_ONCE):
-                np.maximum.at(out, i + text[a : a + AT_ONCE], self.logits(projected, index[a : a + AT_ONCE]))
+            np.maximum.at(out, i + text, self.window_logits(self.projected(self.inputs(words.row, words.gram, words.gram_start)), index))
         return out
 
-    def window_logits(self, words: Words, side: int) -> np.ndarray:
-        """Logits of one text's windows."""
-        projected, index = self.projected(self.inputs(words, side)), words.windows()[0]
-        return np.concatenate([self.logits(projected, index[a : a + AT_ONCE]) for a in range(0, len(index), AT_ONCE)])
-
     def score(self, column: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
         return sigmoid(self.document_logits(column).astype(np.float64) * self.slope + self.shift)
 
-
-def single(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    data, offsets = buffers(column)
-    return ((data[offsets[d] : offsets[d + 1]], np.zeros(1, np.int64), 1) for d in range(len(column)))
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, curve=np.array([self.slope, self.shift]), **self.p)
+        return out.getvalue()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Network:
+        net = Network()
+        with np.load(io.BytesIO(data)) as held:
+            net.p = {k: held[k] for k in net.p}
+            net.slope, net.shift = map(float, held["curve"])
+        return net
 
 
-def odds(on: np.ndarray, off: np.ndarray, n_on: int, n_off: int, strength: float = 8.0) -> np.ndarray:
-    """Smoothed log odds, from -1 to 1."""
-    share = n_on / (n_on + n_off)
-    return (np.clip(np.log((on + strength * share) / (off + strength * (1 - share)) * (n_off / n_on)), -4, 4) / 4).astype(np.float32)
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places (-1 last, as an index has it) and the sum of the values at each."""
+    rows, inverse = np.unique(at, return_inverse=True)
+    return rows, np.stack([np.bincount(inverse.ravel(), values[:, k], len(rows)) for k in range(values.shape[1])], 1).astype(values.dtype)
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label by row of the word and the n-gram table."""
-    seen = np.zeros((2, WORD_ROWS + GRAM_ROWS + 1), np.int64)
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each training document (doc_id, label, text) its windows as bytes: distinct words' codes, n-grams and how many, indices of words."""
     for batch in batches:
-        label = np.array(batch.column(0).to_pylist(), np.int64)
-        data, offsets = buffers(batch.column(1))
-        for d in range(len(label)):
+        rows = []
+        data, offsets = buffers(batch.column(2))
+        for d, (doc, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             w = Words(data[offsets[d] : offsets[d + 1]], np.zeros(1, np.int64), 1)
-            seen[label[d], w.row] += 1
-            if len(w.row):
-                seen[label[d], WORD_ROWS + np.unique(w.gram)] += 1
-            seen[label[d], -1] += 1
-    if seen.any():
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["counts"])
-
-
-def teach(net: Network, trained: bool):
-    """Windows that teach, as the words' rows and n-grams: those of the most telling words, or of the network's largest logits."""
+            index, _ = w.windows()
+            if len(index) > LESSONS:
+                index = index[np.argsort(mix(np.arange(len(index), dtype=np.uint64) + np.uint64((doc & 0xFFFFFFFF) << 24)))[:LESSONS]]
+            used = np.unique(index[index >= 0])
+            count = np.diff(np.append(w.gram_start, len(w.gram)))
+            gram = w.gram[np.repeat(np.isin(np.arange(len(count)), used), count)]
+            index = np.where(index >= 0, np.searchsorted(used, index), -1)
+            rows.append((doc, label, w.code[used].tobytes() if len(used) else b"", count[used].astype(np.int32).tobytes(), gram.astype(np.int32).tobytes(), index.astype(np.int32).tobytes()))
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "label", "codes", "counts", "grams", "windows"])
+
+
+class Lessons:
+    """The windows of all training documents over one table of distinct words."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[5]))
+        self.label = np.array([r[1] for r in rows], np.float64)
+        self.held = mix(np.array([r[0] & (1 << 62) - 1 for r in rows], np.uint64) + np.uint64(77)) % np.uint64(1000) < np.uint64(int(1000 * KEPT))
+        joined = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows])
+        code, count, gram, index = joined(2, np.uint64), joined(3, np.int32).astype(np.int64), joined(4, np.int32), joined(5, np.int32).reshape(-1, WINDOW)
+        size = np.array([len(r[2]) // 8 for r in rows])
+        self.doc = np.repeat(np.arange(len(rows)), [len(r[5]) // (4 * WINDOW) for r in rows])
+        distinct, at, of = np.unique(code, return_index=True, return_inverse=True)
+        own = (np.cumsum(size) - size)[self.doc][:, None] + index
+        self.index = np.where(index >= 0, of.ravel()[np.where(index >= 0, own, 0)] if len(of) else -1, -1).astype(np.int32)
+        self.row, self.count = word_rows(distinct), count[at]
+        self.start = np.cumsum(self.count) - self.count
+        self.gram = gram[np.repeat((np.cumsum(count) - count)[at] - self.start, self.count) + np.arange(int(self.count.sum()))]
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, n-grams and where they start, of some of the words."""
+        count = self.count[words]
+        start = np.cumsum(count) - count
+        return self.row[words], self.gram[np.repeat(self.start[words] - start, count) + np.arange(int(count.sum()))], start
+
+
+class Training:
+    def __init__(self, lessons: Lessons, fitted: np.ndarray, seed: int = 3):
+        """fitted: which documents the network is fitted on."""
+        self.l, self.fitted, self.net, self.rng = lessons, fitted, Network(), np.random.default_rng(seed)
+        self.windows = np.flatnonzero(fitted[lessons.doc])
+        self.acc = {k: np.full_like(v, 1e-8) for k, v in self.net.p.items()}
+        index = lessons.index[self.windows]
+        there = index >= 0
+        pairs = np.unique(np.repeat(lessons.doc[self.windows], WINDOW).reshape(index.shape)[there].astype(np.int64) * len(lessons.row) + index[there])
+        self.of_doc, self.word = np.divmod(pairs, max(1, len(lessons.row)))
+        times = np.bincount(self.word, minlength=len(lessons.row))
+        self.known = {"words": np.bincount(lessons.row, times, WORD_ROWS) >= SUPPORT, "grams": np.bincount(lessons.gram, np.repeat(times, lessons.count), GRAM_ROWS) >= SUPPORT}
+        for name, known in self.known.items():
+            self.net.p[name] *= known[:, None]
+
+    def first(self) -> np.ndarray:
+        """Train the first coordinate of the inputs alone: a document's logit is a soft maximum over its words. Returns the words' values."""
+        l = self.l  # noqa: E741
+        own = np.unique(self.word)
+        row, gram, start = l.of(own)
+        count = l.count[own]
+        of_word, at = np.repeat(np.arange(len(own)), count), np.searchsorted(own, self.word)
+        docs, doc = np.unique(self.of_doc, return_inverse=True)
+        begin, size = np.searchsorted(doc, np.arange(len(docs))), np.bincount(doc)
+        y = l.label[docs]
+        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+        value = {"words": np.zeros(WORD_ROWS), "grams": np.zeros(GRAM_ROWS)}
+        acc, shift, shift_acc = {k: np.full_like(v, 1e-6) for k, v in value.items()}, -1.0, 1e-6
+        for _ in range(STEPS):
+            score = (value["words"][row] + GRAM_WEIGHT * np.bincount(of_word, value["grams"][gram], len(own)) / count)[at]
+            most = np.maximum.reduceat(score, begin)
+            e = np.exp(score - most[doc])
+            total = np.add.reduceat(e, begin)
+            d = (sigmoid(most + np.log(total) - 0.5 * np.log(size) + shift) - y) * weight
+            by_word = np.bincount(at, (d / total)[doc] * e, len(own))
+            for name, places, grad in (("words", row, by_word), ("grams", gram, (GRAM_WEIGHT * by_word / count)[of_word])):
+                g = (np.bincount(places, grad, len(value[name])) + DECAY * value[name]) * self.known[name]
+                acc[name] += g * g
+                value[name] -= FIRST_RATE * g / np.sqrt(acc[name])
+            shift_acc += d.sum() ** 2
+            shift -= FIRST_RATE * d.sum() / shift_acc**0.5
+        self.net.p["words"][:, 0], self.net.p["grams"][:, 0] = value["words"] / 2, value["grams"] * GRAM_WEIGHT / 2
+        out = np.full(len(l.row) + 1, -np.inf)
+        out[own] = value["words"][row] + GRAM_WEIGHT * np.bincount(of_word, value["grams"][gram], len(own)) / count
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, label, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), single(batch.column(2)), strict=True):
-                w = Words(*one)
-                index, _ = w.windows()
-                if not len(w.row):
-                    continue
-                if trained:
-                    value = net.window_logits(w, 1 + label)
-                else:
-                    telling = net.word_odds[1 + label, w.row] + np.maximum.reduceat(net.gram_odds[1 + label, w.gram], w.gram_start)
-                    value = np.where(index >= 0, telling[index], -9).max(1)
-                best = np.argsort(-value, kind="stable")[: 1 if label else 2].tolist()
-                if not label:
-                    best = sorted({*best, int(mix(np.array([doc & (1 << 62) - 1], np.uint64))[0] % np.uint64(len(index)))})
-                grams = np.split(w.gram, w.gram_start[1:])
-                for k in best:
-                    own = [int(x) for x in index[k] if x >= 0]
-                    rows.append((label, [int(w.row[x]) for x in own], [[int(y) for y in grams[x]] for x in own]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))], names=["label", "words", "grams"])
-
-    return run
-
-
-def gathered(rows: list) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all rows over one table of distinct words, each under its label."""
-    known: dict[tuple, int] = {}
-    index = np.full((len(rows), WINDOW), -1)
-    for k, r in enumerate(rows):
-        for t, (w, g) in enumerate(zip(r.words, r.grams, strict=True)):
-            index[k, t] = known.setdefault((r.label, w, tuple(g)), len(known))
-    words = object.__new__(Words)
-    words.row = np.array([w for _, w, _ in known], np.int64)
-    size = np.array([len(g) for _, _, g in known], np.int64)
-    words.gram = np.array([x for _, _, g in known for x in g], np.int64)
-    words.gram_start = np.cumsum(size) - size
-    return words, np.array([1 + label for label, _, _ in known], np.int64), index, np.array([r.label for r in rows], np.float32)
+    def chosen(self, value: np.ndarray) -> np.ndarray:
+        """Of each toxic document its window of greatest value, of each clean one the WORST greatest and about OTHERS others."""
+        doc = self.l.doc[self.windows]
+        order = np.lexsort((-value, doc))
+        doc = doc[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        toxic = self.l.label[doc] > 0
+        other = ~toxic & (self.rng.random(len(doc)) * np.bincount(doc)[doc] < OTHERS)
+        return self.windows[order[(rank < np.where(toxic, 1, WORST)) | other]]
+
+    def step(self, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        net, index = self.net, self.l.index[windows]
+        index = np.where(self.rng.random(index.shape) < LEFT_OUT, -1, index)
+        used, local = np.unique(index, return_inverse=True)
+        local = local.reshape(index.shape) - int(used[0] < 0)
+        used = used[used >= 0]
+        row, gram, start = self.l.of(used)
+        count = self.l.count[used]
+        grads, by_word = net.gradients(net.inputs(row, gram, start), local, target, weight)
+        for name, g in grads.items():
+            self.acc[name] += g * g
+            net.p[name] -= RATE * g / np.sqrt(self.acc[name] + 1e-3)
+        for name, at, g in (("words", row, by_word[:, :WORD_DIM]), ("grams", gram, np.repeat(by_word[:, WORD_DIM:] / count[:, None], count, axis=0))):
+            rows, total = summed(at, g)
+            total *= self.known[name][rows, None]
+            self.acc[name][rows] += total * total
+            net.p[name][rows] -= TABLE_RATE * total / np.sqrt(self.acc[name][rows] + 1e-4)
+
+    def logits(self, windows: np.ndarray) -> np.ndarray:
+        return self.net.window_logits(self.net.projected(self.net.inputs(self.l.row, self.l.gram, self.l.start)), self.l.index[windows])
+
+    def run(self) -> Network:
+        l = self.l  # noqa: E741
+        value = self.first()[l.index[self.windows]].max(1)
+        for r in range(ROUNDS):
+            if r:
+                value = self.logits(self.windows)
+            windows = self.chosen(value)
+            target = l.label[l.doc[windows]].astype(np.float32)
+            weight = np.where(target > 0, 0.35 / max(target.mean(), 1e-9), 0.65 / max(1 - target.mean(), 1e-9)).astype(np.float32)
+            for _ in range(max(2 if r == 0 else 1, -(-LEAST_STEPS * BATCH // len(windows)))):
+                order = self.rng.permutation(len(windows))
+                for a in range(0, len(order), BATCH):
+                    part = order[a : a + BATCH]
+                    self.step(windows[part], target[part], weight[part])
+        return self.net
+
+
+def fitted(rows: list[tuple], share: tuple[float, float]) -> Network:
+    """A network from packed documents. share: how many labelled documents there are for each one of the sample, by class."""
+    lessons = Lessons(rows)
+    held = lessons.held.copy()
+    for k in (0, 1):  # both parts need both classes; one document alone serves for both
+        own = np.flatnonzero(lessons.label == k)
+        if held[own].all() or not held[own].any():
+            held[own] = False
+            held[own[: len(own) // 2]] = True
+    if len({*lessons.label[held]}) < 2:
+        held[:] = False
+    net = Training(lessons, ~held).run()
+    judged = held if held.any() else ~held
+    rows_ = np.flatnonzero(judged[lessons.doc])
+    most = np.full(len(lessons.label), -np.inf)
+    training = object.__new__(Training)
+    training.l, training.net = lessons, net
+    np.maximum.at(most, lessons.doc[rows_], training.logits(rows_))
+    label = lessons.label[judged]
+    net.slope, net.shift = calibrate(most[judged], label, np.where(label > 0, share[1], share[0]))
+    return net
 
 
 def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -329,41 +415,20 @@ def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
 def train(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLASS) -> Network:
     """A network from labelled documents; keep: which rows of labels may be learned from."""
     net = Network()
-    rows = labelled(documents.where(F.col("text").isNotNull()), labels, "toxic", per_class, ["text"], keep).coalesce(8)
-    counts = sum(np.frombuffer(r.counts, np.int64) for r in rows.select("label", "text").mapInArrow(count_features, "counts binary").collect())
-    if isinstance(counts, int):
-        net.constant = 0.0
-        return net
-    counts = counts.reshape(2, -1)
-    n_off, n_on = int(counts[0, -1]), int(counts[1, -1])
-    if not n_off or not n_on:
-        net.constant = float(n_on > 0)
+    rows = labelled(documents.where(F.col("text").isNotNull()), labels, "toxic", per_class, ["text"], keep)
+    taken = {r.label: (r.n, r.all) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("of_label").alias("all")).collect()}
+    if len(taken) < 2:
+        net.constant = float(1 in taken)
         return net
-    for name, part in (("words", counts[:, :WORD_ROWS]), ("grams", counts[:, WORD_ROWS:-1])):
-        off, on = part
-        three = np.stack([odds(on, off, n_on, n_off), odds(on, np.maximum(off - 1, 0), n_on, n_off), odds(np.maximum(on - 1, 0), off, n_on, n_off)])
-        net.known[name] = (on + off >= SUPPORT).astype(np.float32)
-        net.p[name] *= net.known[name][:, None]
-        if name == "words":
-            net.word_odds = three
-        else:
-            net.gram_odds = three
-    spark = rows.sparkSession
-    lessons: list = []
-    for trained in (False, True):
-        sent = spark.sparkContext.broadcast(net)
-        lessons += rows.select("doc_id", "label", "text").mapInArrow(lambda it, sent=sent, trained=trained: teach(sent.value, trained)(it), "label int, words array<int>, grams array<array<int>>").collect()
-        net.fit(*gathered(lessons))
-    sent = spark.sparkContext.broadcast(net)
-
-    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.document_logits(b.column(1), np.array(b.column(0).to_pylist())))], names=["label", "logit"])
-
-    seen = rows.select("label", "text").mapInArrow(logits, "label int, logit float").collect()
-    logit, label = np.array([r.logit for r in seen]), np.array([r.label for r in seen], np.float64)
-    net.slope, net.shift = calibrate(logit, label, np.ones(len(label)))
-    return net
+    share = tuple(taken[k][1] / taken[k][0] for k in (0, 1))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([fitted(held, share).packed()], pa.binary())], names=["network"])
+
+    windows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text").mapInArrow(pack, "doc_id bigint, label int, codes binary, counts binary, grams binary, windows binary")
+    return Network.unpacked(windows.repartition(1).mapInArrow(fit, "network binary").first().network)  # a bounded sample: one task
 
 
 def score(documents: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
