@@ -14,7 +14,7 @@ def test_gradients_of_the_network():
     data = "one two three four five six".encode()
     words = toxicity.Words(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), 1)
     index = np.array([[0, 1, 2, -1], [3, 4, 5, 2]])
-    x, target, weight = net.inputs(words).astype(np.float64), np.array([1.0, 0.0]), np.array([1.0, 2.0])
+    x, target, weight = net.inputs(words.row, words.gram, words.gram_start), np.array([1.0, 0.0]), np.array([1.0, 2.0])
 
     def loss():
         out = net.logits(net.projected(x), index)
@@ -34,11 +34,36 @@ def test_gradients_of_the_network():
         assert abs((up - down) / (2 * eps) - g[at]) < 1e-4, name
 
 
-def test_windows_cover_every_word():
-    for n in (0, 1, 31, 32, 33, 48, 49, 200):
-        data = " ".join(f"w{'x' * (k % 9)}" for k in range(n)).encode()
-        index, text = toxicity.Words(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), 1).windows()
-        assert len(index) == max(1, -(-(n - 32) // 16) + 1) and (index >= 0).sum() >= n and not text.any()
+def test_windows_cover_every_word_and_overlap():
+    for n in (0, 1, 31, 32, 33, 48, 56, 57, 200):
+        data = " ".join(f"w{'x' * k}" for k in range(n)).encode()
+        words = toxicity.Words(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), 1)
+        index, text = words.windows()
+        assert len(index) == max(1, -(-(n - 32) // 24) + 1) and set(index[index >= 0].tolist()) == set(range(n)) and not text.any()
+        assert all(set(a) & set(b) - {-1} for a, b in zip(index.tolist(), index.tolist()[1:], strict=False))
+
+
+def test_inputs_of_a_word_are_its_vectors():
+    net = toxicity.Network(2)
+    words = toxicity.Words(np.frombuffer(b"ab abc", np.uint8), np.zeros(1, np.int64), 1)
+    count = sorted(np.diff(np.append(words.gram_start, len(words.gram))).tolist())
+    assert count == [3, 6]  # of #ab#: two of three characters, one of four; of #abc#: three, two, one
+    x = net.inputs(words.row, words.gram, words.gram_start)
+    for k, (a, b) in enumerate(zip(words.gram_start, [*words.gram_start[1:], len(words.gram)], strict=True)):
+        assert np.allclose(x[k, : toxicity.WORD_DIM], net.p["words"][words.row[k]]) and np.allclose(x[k, toxicity.WORD_DIM :], net.p["grams"][words.gram[a:b]].mean(0), atol=1e-6)
+
+
+def test_the_network_survives_being_packed():
+    net = toxicity.Network(3)
+    net.slope, net.shift = 2.0, -1.0
+    texts = pa.array(["one two three", "", None, "x " * 5000])
+    assert (toxicity.Network.unpacked(net.packed()).score(texts) == net.score(texts)).all()
+
+
+def test_long_training_documents_give_a_bounded_number_of_windows():
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 1, 0], pa.int32()), pa.array(["word " * 9000, "a b", ""])], names=["doc_id", "label", "text"])
+    out = next(toxicity.pack(iter([rows]))).to_pylist()
+    assert [len(r["windows"]) // (4 * toxicity.WINDOW) for r in out] == [toxicity.LESSONS, 1, 1] and [len(r["codes"]) // 8 for r in out] == [1, 2, 0]
 
 
 def made(seed, n):
