@@ -1,16 +1,18 @@
 """Quality by co-training of two views (operator 9), in numpy.
 
-The content view sees what is written: transitions between kinds of characters, hashed words, repetition. The metadata
-view sees the page's record and layout: language, source, stated and real length, lines, shares of kinds of characters.
-Each is a logistic classifier. Over ROUNDS rounds both score a pool of unlabelled documents, and each hands the
-documents that it is most sure of, with its own label, to the other one's training set. Both are then calibrated on
-labelled documents that neither was trained on, and a logistic curve combines the calibrated logits into the score.
+The content view sees what is written and nothing else: transitions between kinds of characters, hashed words, repetition.
+The metadata view sees the document's record and nothing of its text: language, source and stated length. Each is a linear
+discriminant, which needs only the moments of its features by class. First both learn from the labelled rows; then, ROUNDS
+times, both score all documents of the table, and each hands those that it is sure of (a calibrated probability of SURE),
+with its own label, to the other one, whose moments by class become the labelled rows' and theirs, half and half. The moments
+are summed where the documents are, so all of them teach, however many there are. Last, both are calibrated on
+labelled rows that neither was fitted on, and a logistic curve combines the calibrated logits into the score.
 
-Training: at most PER_CLASS labelled documents of each class and POOL unlabelled ones (documented bounds).
+Training: at most PER_CLASS labelled documents of each class (a documented bound); of these a quarter calibrates.
 
 Cases: a null text counts as empty, a null in another column is a value of its own; columns that are missing count as
 null; without labelled rows of both classes the score is the share of good ones (1 if there are none); repeated rows get
-equal scores; an empty table gives an empty result; further columns don't pass.
+equal scores; an empty table gives an empty result; a view that is sure of nothing teaches nothing; further columns don't pass.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from functools import cache as once
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, filtered, mix, spans, table, written
+from cellsift.llm.common import buffers, filtered, mix, spans, table
 from cellsift.llm.sample import fold, labelled
 
-SHAPES, WORDS, STATED = 1024, 512, 128
-CONTENT, META = SHAPES + WORDS + 6, 2 * STATED + 12
-PER_CLASS, POOL, ROUNDS, SURE, SHARE = 1500, 3000, 4, 150, 0.25
+SHAPES, WORDS, STATED, LENGTHS = 256, 128, 64, 24
+CONTENT, META = SHAPES + WORDS + 6, 2 * STATED + LENGTHS + 1
+WIDTH = (CONTENT, META)
+PER_CLASS, ROUNDS, SURE, HELD, RIDGE = 1500, 2, 0.95, 0.25, 1e-4
+#: Tasks that sum moments before the last sum.
+SUMS = 16
 SPAN = 1 << 19
 LOWER, UPPER, DIGIT, SPACE, LINE, OTHER = range(6)
 
@@ -57,7 +63,7 @@ def bucket(value: object, rows: int) -> int:
 
 
 def features(text: pa.Array, lang: list, source: list, stated: list) -> tuple[np.ndarray, np.ndarray]:
-    """The two views, a row a document."""
+    """The two views, a row a document: content from the text alone, meta from the other columns alone."""
     data, offsets = buffers(text)
     n = len(text)
     content, meta = np.zeros((n, CONTENT), np.float32), np.zeros((n, META), np.float32)
@@ -73,7 +79,7 @@ def features(text: pa.Array, lang: list, source: list, stated: list) -> tuple[np
         if len(points) > 1:
             change = np.flatnonzero(((mark[1:] != mark[:-1]) | (kind[1:] == OTHER)) & (of[1:] == of[:-1]))
             code = mix((mark[change].astype(np.uint64) << np.uint64(32)) | mark[change + 1])
-            shape = (code >> np.uint64(50)).astype(np.int64) % SHAPES
+            shape = (code >> np.uint64(50)).astype(np.int64) & (SHAPES - 1)
             seen = np.bincount(of[change] * SHAPES + shape, minlength=m * SHAPES).reshape(m, SHAPES)
             content[i:j, :SHAPES] = np.sqrt(seen / np.maximum(size, 1)[:, None])
         solid = np.zeros(len(points) + 2, bool)
@@ -89,7 +95,7 @@ def features(text: pa.Array, lang: list, source: list, stated: list) -> tuple[np
         word = mix((total[ends] - total[starts]) * down[starts])
         word_of = of[starts]
         count = np.bincount(word_of, minlength=m)
-        seen = np.bincount(word_of * WORDS + (word >> np.uint64(50)).astype(np.int64) % WORDS, minlength=m * WORDS).reshape(m, WORDS)
+        seen = np.bincount(word_of * WORDS + ((word >> np.uint64(50)).astype(np.int64) & (WORDS - 1)), minlength=m * WORDS).reshape(m, WORDS)
         content[i:j, SHAPES : SHAPES + WORDS] = np.sqrt(seen / np.maximum(count, 1)[:, None])
         same = np.zeros(len(word), bool)
         same[1:] = (word[1:] == word[:-1]) & (word_of[1:] == word_of[:-1])
@@ -104,16 +110,12 @@ def features(text: pa.Array, lang: list, source: list, stated: list) -> tuple[np
         some = np.maximum(count, 1)
         stats = [distinct / some, np.bincount(word_of[same], minlength=m) / some, most / some, np.bincount(word_of, ends - starts, m) / some / 10, np.log1p(count) / 10, count == 0]
         content[i:j, SHAPES + WORDS :] = np.stack(stats, 1)
-        share = np.bincount(of * 6 + kind, minlength=m * 6).reshape(m, 6) / np.maximum(size, 1)[:, None]
-        lines = np.bincount(of[kind == LINE], minlength=m) + 1
-        layout = [np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, *share.T, size == 0]
-        meta[i:j, 2 * STATED : 2 * STATED + len(layout)] = np.stack(layout, 1)
     for k in range(n):
         meta[k, bucket(lang[k], STATED)] = meta[k, STATED + bucket(source[k], STATED)] = 1
         if stated[k] is None:
-            meta[k, -2] = 1
+            meta[k, -1] = 1
         else:
-            meta[k, -1] = np.log1p(max(0, stated[k])) / 10
+            meta[k, 2 * STATED + min(LENGTHS - 1, max(0, stated[k]).bit_length())] = 1
     return content, meta
 
 
@@ -121,29 +123,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class Logistic:
-    """Logistic regression on scaled features, classes weighted alike, by Adam on the whole batch."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, start: Logistic | None = None, rate: float = 0.04, ridge: float = 2e-3):
-        steps = 50 if start else 120
-        self.mean, self.scale = (start.mean, start.scale) if start else (x.mean(0), np.maximum(x.std(0), 0.02))
-        x = ((x - self.mean) / self.scale).astype(np.float32)
-        self.w, self.b = (start.w.copy(), start.b) if start else (np.zeros(x.shape[1], np.float32), 0.0)
-        weight = (np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)).astype(np.float32)
-        m = np.zeros(len(self.w) + 1)
-        v = np.zeros(len(self.w) + 1)
-        for t in range(1, steps + 1):
-            d = (sigmoid(x @ self.w + self.b) - y) * weight
-            g = np.append(x.T @ d + ridge * self.w, d.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-            self.w -= step[:-1].astype(np.float32)
-            self.b -= step[-1]
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.w + self.b
-
-
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights, the constant last, of a logistic curve over few columns, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
@@ -157,55 +136,98 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
+class Moments:
+    """Of one class: rows, sums and sums of products of the features with a constant 1."""
+
+    def __init__(self, width: int):
+        self.m = np.zeros((width + 1, width + 1))
+
+    def add(self, x: np.ndarray) -> Moments:
+        one = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
+        self.m += one.T @ one
+        return self
+
+    @property
+    def n(self) -> float:
+        return float(self.m[-1, -1])
+
+    def average(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance."""
+        mean = self.m[:-1, -1] / self.n
+        return mean, self.m[:-1, :-1] / self.n - np.outer(mean, mean)
+
+
+class Discriminant:
+    """The linear discriminant of two classes from lists of their moments, each list's members with equal weights; and the curve that makes its value a logit."""
+
+    def __init__(self, bad: list[Moments], good: list[Moments]):
+        means, inner = [], 0.0
+        for held in (bad, good):
+            held = [m for m in held if m.n]
+            parts = [m.average() for m in held]
+            mean = sum(m for m, _ in parts) / len(parts)
+            inner = inner + sum(c + np.outer(m - mean, m - mean) for m, c in parts) / len(parts) / 2
+            means.append(mean)
+        self.w = np.linalg.solve(inner + RIDGE * np.eye(len(inner)), means[1] - means[0])
+        scale = max(float(np.sqrt(self.w @ inner @ self.w)), 1e-9)
+        self.w /= scale
+        self.b = -float(self.w @ (means[0] + means[1])) / 2
+        self.curve = np.array([1.0, 0.0])
+
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x @ self.w + self.b) * self.curve[0] + self.curve[1], -8, 8)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.curve = curve((x @ self.w + self.b)[:, None], y)
+
+
 class CoTrained:
-    """Both views' classifiers after the exchange, their calibration and combination."""
+    """Both views' classifiers, their calibration and combination."""
 
-    def __init__(self, labelled_: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], seed: int = 5):
-        *views, y = labelled_
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, ids: np.ndarray):
+        """The labelled rows' features, labels and ids."""
         self.constant, self.views = None, []
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return
-        held = np.random.default_rng(seed).random(len(y)) < SHARE
+        held = mix(ids.astype(np.uint64) + np.uint64(5)) % np.uint64(1000) < np.uint64(int(1000 * HELD))
         for k in (0, 1):  # both parts need both classes
             own = np.flatnonzero(y == k)
             if held[own].all() or not held[own].any():
                 held[own[: len(own) // 2]] = True
                 held[own[len(own) // 2 :]] = False
-        sets = [[x[~held]] for x in views], [[y[~held]], [y[~held]]]
-        free = np.arange(len(pool[0]))
-        for _ in range(ROUNDS):
-            self.views = self.fitted(sets)
-            taken: set[int] = set()
-            for v in (0, 1):
-                logit = self.views[v].logit(pool[v][free])
-                order = np.argsort(logit, kind="stable")
-                sure = min(SURE, len(order) // (4 * ROUNDS))
-                for label, rows in ((0.0, order[:sure][logit[order[:sure]] < -2]), (1.0, order[len(order) - sure :][logit[order[len(order) - sure :]] > 2])):
-                    sets[0][1 - v].append(pool[1 - v][free[rows]])
-                    sets[1][1 - v].append(np.full(len(rows), label))
-                    taken.update(rows.tolist())
-            free = np.delete(free, sorted(taken))
-        self.views = self.fitted(sets)
-        logits = [c.logit(x[held]) for c, x in zip(self.views, views, strict=True)]
-        self.calibration = [curve(q[:, None], y[held]) for q in logits]
-        self.combination = curve(self.calibrated(logits), y[held])
-
-    def fitted(self, sets: list[list[list[np.ndarray]]]) -> list[Logistic]:
-        """Each view's classifier on its own set, from where it was."""
-        return [Logistic(np.concatenate(sets[0][v]), np.concatenate(sets[1][v]), self.views[v] if self.views else None) for v in (0, 1)]
-
-    def calibrated(self, logits: list[np.ndarray]) -> np.ndarray:
-        return np.stack([np.clip(q * c[0] + c[1], -8, 8) for q, c in zip(logits, self.calibration, strict=True)], 1)
+        if len({*y[held]}) < 2:
+            held[:] = True
+        fit = ~held if len({*y[~held]}) == 2 else held
+        self.taught = [[Moments(WIDTH[v]).add(views[v][fit & (y == k)]) for k in (0, 1)] for v in (0, 1)]
+        self.judge = [x[held] for x in views], y[held]
+        self.fit([[[], []], [[], []]])
+
+    def fit(self, more: list[list[list[Moments]]]) -> None:
+        """Both views from the labelled rows' moments and more of them, by view and class; calibrated and combined."""
+        views, y = self.judge
+        self.views = [Discriminant(*([self.taught[v][k], *more[v][k]] for k in (0, 1))) for v in (0, 1)]
+        for d, x in zip(self.views, views, strict=True):
+            d.calibrate(x, y)
+        self.combination = curve(self.logits(*views), y)
+
+    def logits(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        return np.stack([d.calibrated(x) for d, x in zip(self.views, (content, meta), strict=True)], 1)
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined score, and each view's own."""
         if self.constant is not None:
             s = np.full(len(content), self.constant)
             return s, s, s
-        both = self.calibrated([c.logit(x) for c, x in zip(self.views, (content, meta), strict=True)])
+        both = self.logits(content, meta)
         return sigmoid(both @ self.combination[:-1] + self.combination[-1]), sigmoid(both[:, 0]), sigmoid(both[:, 1])
 
+    def handed(self, content: np.ndarray, meta: np.ndarray) -> list[list[np.ndarray]]:
+        """By view and class, which documents the other view hands to it."""
+        sure = np.log(SURE / (1 - SURE))
+        both = self.logits(content, meta)
+        return [[both[:, 1 - v] < -sure, both[:, 1 - v] > sure] for v in (0, 1)]
+
 
 COLUMNS = {"text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
@@ -215,28 +237,64 @@ def seen(df: DataFrame, *first: str) -> DataFrame:
 
 
 def viewed(df: DataFrame) -> list:
-    """label, content and meta of few rows, to the driver."""
+    """doc_id, label, content and meta of few rows, to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, meta = features(b.column(1), *(b.column(k).to_pylist() for k in (2, 3, 4)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in meta], pa.binary())], names=["label", "content", "meta"])
+            content, meta = features(b.column(2), *(b.column(k).to_pylist() for k in (3, 4, 5)))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *(pa.array([x.astype(np.float16).tobytes() for x in part], pa.binary()) for part in (content, meta))], names=["doc_id", "label", "content", "meta"])
 
-    return seen(df, "label").mapInArrow(run, "label int, content binary, meta binary").collect()
+    return seen(df.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", "label").mapInArrow(run, "doc_id bigint, label int, content binary, meta binary").collect()
 
 
 def matrix(rows: list, name: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[name] for r in rows), np.float16).reshape(len(rows), width).astype(np.float32)
 
 
-def train(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLASS, pool: int = POOL) -> CoTrained:
-    plain = seen(documents, "doc_id")
-    rows = viewed(labelled(plain, labels, "quality", per_class, list(COLUMNS), keep))
-    ids = plain.select("doc_id").where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    free = viewed(written(plain.join(F.broadcast(ids), "doc_id").withColumn("label", F.lit(0)), "pool"))
-    order = sorted(rows, key=lambda r: (r.label, r.content, r.meta))
-    free = sorted(free, key=lambda r: (r.content, r.meta))
-    return CoTrained((matrix(order, "content", CONTENT), matrix(order, "meta", META), np.array([r.label for r in order], np.float64)), (matrix(free, "content", CONTENT), matrix(free, "meta", META)))
+def lessons(documents: DataFrame, model: CoTrained) -> list[list[list[Moments]]]:
+    """By view and class, the moments of all documents that the other view hands over. Summed in tasks; four matrices come to the driver."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [[Moments(w) for _ in (0, 1)] for w in WIDTH]
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                both = features(b.column(0), *(b.column(c).to_pylist() for c in (1, 2, 3)))
+                for v, by_class in enumerate(sent.value.handed(*both)):
+                    for k_, rows in enumerate(by_class):
+                        if rows.any():
+                            own[v][k_].add(both[v][rows])
+        found = [(2 * v + k, m.m.tobytes()) for v in (0, 1) for k, m in enumerate(own[v]) if m.n]
+        if found:
+            part = TaskContext.get().partitionId() % SUMS
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], names=["part", "kind", "moments"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for key, blob in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
+                m = np.frombuffer(blob.as_buffer(), np.float64)
+                total[key] = total[key] + m if key in total else m.copy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["part", "kind", "moments"])
+
+    schema = "part int, kind int, moments binary"
+    some = seen(documents).mapInArrow(run, schema).repartition(SUMS, "part").mapInArrow(add, schema)
+    out: list[list[list[Moments]]] = [[[], []], [[], []]]
+    for r in some.withColumn("part", F.lit(0)).coalesce(1).mapInArrow(add, schema).collect():
+        m = Moments(WIDTH[r.kind // 2])
+        m.m = np.frombuffer(r.moments, np.float64).reshape(m.m.shape)
+        out[r.kind // 2][r.kind % 2].append(m)
+    return out
+
+
+def train(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLASS, rounds: int = ROUNDS) -> CoTrained:
+    rows = sorted(viewed(labelled(seen(documents, "doc_id"), labels, "quality", per_class, list(COLUMNS), keep)), key=lambda r: (r.doc_id, r.label, r.content, r.meta))
+    model = CoTrained([matrix(rows, "content", CONTENT), matrix(rows, "meta", META)], np.array([r.label for r in rows], np.float64), np.array([r.doc_id for r in rows], np.int64))
+    for _ in range(rounds if model.constant is None else 0):
+        model.fit(lessons(documents, model))
+    return model
 
 
 def score(documents: DataFrame, model: CoTrained) -> DataFrame:
