@@ -1,26 +1,29 @@
 """Benchmark decontamination by templates (operator 6).
 
-A text becomes a row of tokens: words in lower case, and typed placeholders for numbers, for names (a capitalised word
-within a sentence) and for units (a unit's word after a number). Windows of LENGTH template tokens are hashed and joined
-with those of the benchmark, so a question with other numbers and names still meets its original. What the placeholders
-stood for decides: along one alignment each value of the item must always stand for the same value of the document, and
-names and units the other way round too; alignments that break this are dropped. Beside the template each window is
-hashed as it is, in lower case, so that an exact copy is found whatever its tokens' types and however few of them are
-words. A pair is reported if the windows that
-remain cover TOKENS tokens of the item or SHARE of it; it is `exact` if all values are the same, else `reparameterised`.
-
-Workers send only windows whose hash is in a bitmap of the benchmark's, of a fixed size however large the benchmark; the
+A text becomes a row of tokens: words in lower case, and typed placeholders for numbers (digits and number words), for
+names (a capitalised word that isn't a function word, wherever it stands) and for units (a unit's word after a number).
+Names, and numbers, that follow each other with only blanks between are one placeholder, so "Tom" meets "Tom Brown". Windows
+of LENGTH template tokens are hashed and joined with those of the benchmark, so a question with other numbers and names
+still meets its original. What the placeholders stood for decides: along one alignment each value of the item must always
+stand for the same value of the document, and names and units the other way round too; alignments that break this are
+dropped. Beside the template each window is hashed as it is, in lower case and without placeholders, so that an exact copy
+is found whatever its tokens' types and however few of them are words. A pair is reported if the windows that remain cover
+TOKENS tokens of the item or SHARE of it; it is `exact` if windows with equal values cover as much, else `reparameterised`.
+
+Workers send only windows whose hash is in a bitmap of the benchmark's, of a bounded size however large the benchmark; the
 join itself is by hash, for any size.
 
 Cases: null and empty texts have no windows; an item shorter than a window has one window, all its tokens; a window with
 fewer than LITERALS words that aren't placeholders is searched for as it is only, without other values; repeated documents each get their
 pairs (rows that share a doc_id get them once); repeated items each get theirs; an empty table gives an empty result;
-rows without an id are left out; further columns don't pass.
+very long texts are read whole; rows without an id are left out of the pairs, but `clean` judges each row by its text, with an id
+or without; further columns don't pass (`clean` passes all).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache as once
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,25 @@ from cellsift.llm.langid import letters
 from cellsift.llm.quality import DIGIT, LOWER, SPACE, UPPER, kinds
 
 LENGTH, LITERALS, TOKENS, SHARE = 8, 4, 12, 0.6
-BITS, SPAN = 24, 1 << 19
+#: Bits of a hash that the bitmap looks at: at least and at most, and slots for each window between.
+FEWEST_BITS, MOST_BITS, SLOTS = 16, 28, 32
+SPAN = 1 << 19
 WORD, NUMBER, NAME, UNIT = range(4)
-# Names of units.
+# Words that begin sentences without being names, number words, names of units.
+FUNCTION_WORDS = (
+    "a about after all although an and any are as assume at because before both but by calculate can compute could describe did do does during each estimate evaluate every explain find finally first for from given "
+    "had has have he her here his how i if in into is it its let list many may more most my name next no not now of on once one only or other our over prove select she should show simplify since so solve some suppose than that the their then there "
+    "these they this those through to under until was we were what when where whether which while who whom whose why will with without would write you your "
+    "das dem den der des die ein eine es er ist sie und was welche wer wie wo le la les un une des et est il elle que qui quel quelle comment où el los las una y es cuál qué quién cómo dónde"
+).split()
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze vingt cent mille dos tres cuatro cinco seis siete ocho nueve diez once doce veinte cien mil"
+).split()
 UNITS = (
     "m cm mm km nm um ft feet foot inch inches yard yards mile miles g kg mg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds ounce ounces oz l ml liter liters litre litres gallon gallons "
-    "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent degree degrees celsius fahrenheit kelvin dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh mw joule joules watt watts volt volts amp amps byte bytes kb mb gb tb bit bits kph mph pascal bar acre acres hectare hectares"
+    "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent degree degrees celsius fahrenheit kelvin dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh mw joule joules watt watts volt volts amp amps byte bytes kb mb gb tb bit bits kph mph pascal bar acre acres hectare hectares "
+    "meter kilometer gramm stunde stunden tag tage woche wochen monat monate jahr jahre prozent grad mètre mètres kilomètre kilomètres heure heures jour jours semaine semaines mois an ans metro metros kilómetro kilómetros hora horas minuto minutos día días semana semanas mes meses año años"
 ).split()
 
 
@@ -49,40 +65,58 @@ def hashed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
-def unit_hashes() -> np.ndarray:
-    return np.sort(np.array([hashed(p := np.array([ord(c) for c in u]), np.array([0]), np.array([len(p)]))[0] for u in UNITS], np.uint64))
-
-
-def tokens(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Type, value and text of each token of several texts."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    of = np.searchsorted(begin, np.flatnonzero((data & 0xC0) != 0x80), "right") - 1
-    kind = kinds()[points].copy()
-    n = len(points)
-    if n > 2:  # a point or comma between digits belongs to the number
-        inner = np.flatnonzero(((points[1:-1] == 46) | (points[1:-1] == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT) & (of[:-2] == of[2:])) + 1
-        kind[inner] = DIGIT
-    group = np.where((kind == LOWER) | (kind == UPPER), 1, np.where(kind == DIGIT, 2, 0))
-    change = np.ones(n + 1, bool)
-    change[1:-1] = (group[1:] != group[:-1]) | (of[1:] != of[:-1])
-    edges = np.flatnonzero(change)
-    starts, ends = edges[:-1], edges[1:]
-    keep = group[starts] > 0
-    starts, ends = starts[keep], ends[keep]
-    low = np.where(letters()[points] > 0, letters()[points], points)
-    value = hashed(low, starts, ends)
-    token = np.where(group[starts] == 2, NUMBER, WORD)
-    # What stands before a token, blanks left out, says whether it is within a sentence.
-    solid = np.maximum.accumulate(np.where(kind != SPACE, np.arange(n), -1)) if n else np.zeros(0, np.int64)
-    last = np.where(starts > 0, solid[np.maximum(starts - 1, 0)], -1)
-    within = (last >= 0) & (of[np.maximum(last, 0)] == of[starts]) if n else np.zeros(0, bool)
-    within &= (group[np.maximum(last, 0)] > 0) | (points[np.maximum(last, 0)] == 44) if n else within
-    second = np.minimum(starts + 1, max(n - 1, 0))
-    token[(token == WORD) & within & (kind[starts] == UPPER) & (ends - starts > 1) & (kind[second] == LOWER)] = NAME
-    after_number = np.zeros(len(token), bool)
-    after_number[1:] = (token[:-1] == NUMBER) & (of[starts][1:] == of[starts][:-1])
-    token[(token == WORD) & after_number & np.isin(value, unit_hashes())] = UNIT
-    return token, value, of[starts]
+@once
+def listed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the function words, number words and units."""
+    one = lambda w: hashed(np.array([ord(c) for c in w]), np.array([0]), np.array([len(w)]))[0]
+    return tuple(np.array([one(w) for w in words], np.uint64) for words in (FUNCTION_WORDS, NUMBERS, UNITS))
+
+
+class Tokens:
+    """Type, value and text of each token of several texts, and the template: the same with runs of names and of numbers as one."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray):
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        of = np.searchsorted(begin, np.flatnonzero((data & 0xC0) != 0x80), "right") - 1
+        kind = kinds()[points].copy()
+        n = len(points)
+        if n > 2:  # a point or comma between digits belongs to the number
+            inner = np.flatnonzero(((points[1:-1] == 46) | (points[1:-1] == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT) & (of[:-2] == of[2:])) + 1
+            kind[inner] = DIGIT
+        group = np.where((kind == LOWER) | (kind == UPPER), 1, np.where(kind == DIGIT, 2, 0))
+        change = np.ones(n + 1, bool)
+        change[1:-1] = (group[1:] != group[:-1]) | (of[1:] != of[:-1])
+        edges = np.flatnonzero(change)
+        starts, ends = edges[:-1], edges[1:]
+        keep = group[starts] > 0
+        starts, ends = starts[keep], ends[keep]
+        low = np.where(letters()[points] > 0, letters()[points], points)
+        self.value, self.of = hashed(low, starts, ends), of[starts]
+        functions, numbers, units = listed()
+        word = group[starts] == 1
+        self.kind = np.where(word & ~np.isin(self.value, numbers), WORD, NUMBER)
+        second = np.minimum(starts + 1, max(n - 1, 0))
+        capital = (kind[starts] == UPPER) & (ends - starts > 1) & (kind[second] == LOWER)
+        self.kind[(self.kind == WORD) & capital & ~np.isin(self.value, functions)] = NAME
+        after_number = np.zeros(len(word), bool)
+        after_number[1:] = (self.kind[:-1] == NUMBER) & (self.of[1:] == self.of[:-1])
+        self.kind[word & after_number & (self.kind != NUMBER) & np.isin(self.value, units)] = UNIT
+        # A token goes with the one before it if both are names with blanks between, or numbers with blanks or hyphens.
+        other = np.concatenate([[0], np.cumsum(kind != SPACE)])
+        sign = np.concatenate([[0], np.cumsum((kind != SPACE) & (points != 45))])
+        joined = np.zeros(len(word), bool)
+        same = (self.kind[1:] == self.kind[:-1]) & (self.of[1:] == self.of[:-1]) & (starts[1:] > ends[:-1])
+        joined[1:] = same & ((self.kind[1:] == NAME) & (other[starts[1:]] == other[ends[:-1]]) | (self.kind[1:] == NUMBER) & (sign[starts[1:]] == sign[ends[:-1]]))
+        #: First token of each of the template's, and the one after its last.
+        self.first = np.flatnonzero(~joined)
+        self.last = np.append(self.first[1:], len(word)) if len(word) else self.first
+        place = np.arange(len(word)) - np.repeat(self.first, self.last - self.first)
+        self.run_value = np.add.reduceat(mix(self.value + place.astype(np.uint64)), self.first) if len(word) else self.value
+        self.run_value = np.where(self.kind[self.first] == WORD, self.value[self.first], self.run_value)
+
+    def stream(self, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Type, value and text of the tokens as they are, or of the template's."""
+        return (self.kind, self.value, self.of) if plain else (self.kind[self.first], self.run_value, self.of[self.first])
 
 
 def windows(token: np.ndarray, value: np.ndarray, of: np.ndarray, length: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -117,46 +151,63 @@ def slots(token: np.ndarray, value: np.ndarray, first: np.ndarray, length: int,
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """h, item_id, at, length, size, plain, types, values: the windows of each item."""
+    """h, item_id, at, length, begin, upto, size, plain, types, values: the windows of each item; begin and upto in tokens as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             data, offsets = buffers(b.column(1))
             for k, item in enumerate(b.column(0).to_pylist()):
-                token, value, of = tokens(data[offsets[k] : offsets[k + 1]], np.zeros(1, np.int64))
-                length = min(LENGTH, len(token))
-                if not length:
-                    continue
-                for plain in (False, True):
+                t = Tokens(data[offsets[k] : offsets[k + 1]], np.zeros(1, np.int64))
+                size = len(t.value)
+                for plain in (False, True) if size else ():
+                    token, value, of = t.stream(plain)
+                    length = min(LENGTH, len(token))
                     first, h = windows(token, value, of, length, plain)
-                    for a, x, t, v in zip(first.tolist(), h.astype(np.int64).tolist(), *slots(token, value, first, length, plain), strict=True):
-                        rows.append((x, item, a, length, len(token), plain, t, v))
-            kinds_ = [pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds_)], names=["h", "item_id", "at", "length", "size", "plain", "item_types", "item_values"])
+                    begin, upto = (first, first + length) if plain else (t.first[first], t.last[first + length - 1])
+                    for row in zip(h.astype(np.int64).tolist(), [item] * len(h), first.tolist(), [length] * len(h), begin.tolist(), upto.tolist(), [size] * len(h), [plain] * len(h), *slots(token, value, first, length, plain), strict=True):
+                        rows.append(row)
+            kinds_ = [pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds_)], names=["h", "item_id", "at", "length", "begin", "upto", "size", "plain", "item_types", "item_values"])
 
-    schema = "h bigint, item_id bigint, at bigint, length int, size int, plain boolean, item_types array<int>, item_values array<bigint>"
+    schema = "h bigint, item_id bigint, at bigint, length int, begin bigint, upto bigint, size bigint, plain boolean, item_types array<int>, item_values array<bigint>"
     narrow = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null")
     return written(narrow.mapInArrow(run, schema), "items")
 
 
-def bitmap(items: DataFrame) -> np.ndarray:
-    """Bits of the windows' hashes; of a fixed size."""
+class Bitmap:
+    """Which hashes may be among the windows'; of a bounded size."""
+
+    def __init__(self, windows_: int):
+        self.width = min(MOST_BITS, max(FEWEST_BITS, int(windows_ * SLOTS).bit_length()))
+        self.bits = np.zeros(1 << (self.width - 3), np.uint8)
+
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = h >> np.uint64(64 - self.width)
+        return (top >> np.uint64(3)).astype(np.int64), np.uint8(1) << (top & np.uint64(7)).astype(np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        byte, bit = self.place(h)
+        return self.bits[byte] & bit > 0
+
+
+def bitmap(items: DataFrame) -> Bitmap:
+    out = Bitmap(items.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITS, bool)
         for b in batches:
-            bits[np.array(b.column(0), np.int64).view(np.uint64) >> np.uint64(64 - BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            byte, bit = out.place(np.array(b.column(0), np.int64).view(np.uint64))
+            np.bitwise_or.at(out.bits, byte, bit)
+        yield pa.RecordBatch.from_arrays([pa.array([out.bits.tobytes()], pa.binary())], names=["bits"])
 
-    parts = items.select("h").coalesce(2).mapInArrow(run, "bits binary").collect()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for p in parts:
-        out |= np.frombuffer(p.bits, np.uint8)
-    return out
+    merged = Bitmap(0)
+    merged.width, merged.bits = out.width, out.bits.copy()
+    for p in items.select("h").coalesce(2).mapInArrow(run, "bits binary").toLocalIterator():
+        merged.bits |= np.frombuffer(p.bits, np.uint8)
+    return merged
 
 
-def document_windows(documents: DataFrame, lengths: list[int], bits: np.ndarray, doc_id: str, text: str) -> DataFrame:
+def document_windows(documents: DataFrame, lengths: list[tuple[int, bool]], bits: Bitmap, doc_id: str, text: str) -> DataFrame:
     """h, doc_id, place, length, plain, types, values of the windows whose hash the bitmap has."""
     sent = documents.sparkSession.sparkContext.broadcast(bits)
 
@@ -166,11 +217,11 @@ def document_windows(documents: DataFrame, lengths: list[int], bits: np.ndarray,
             ids = np.array(b.column(0), np.int64)
             data, offsets = buffers(b.column(1))
             for i, j in spans(offsets, SPAN):
-                token, value, of = tokens(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
-                for length, plain in [(n, p) for n in lengths for p in (False, True)]:
+                t = Tokens(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
+                for length, plain in lengths:
+                    token, value, of = t.stream(plain)
                     first, h = windows(token, value, of, length, plain)
-                    top = h >> np.uint64(64 - BITS)
-                    hit = (known[(top >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (top & np.uint64(7)).astype(np.uint8))) & 1 > 0
+                    hit = known.has(h)
                     first, h = first[hit], h[hit]
                     if not len(first):
                         continue
@@ -183,34 +234,38 @@ def document_windows(documents: DataFrame, lengths: list[int], bits: np.ndarray,
     return narrow.mapInArrow(run, "h bigint, doc_id bigint, place bigint, length int, plain boolean, types array<int>, values array<bigint>")
 
 
-def covered(places, length):
-    """Tokens under windows that begin at these places."""
-    ordered = F.sort_array(places)
-    start = F.struct(F.lit(-(1 << 40)).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
-    return F.aggregate(ordered, start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(length.cast("bigint"), p - s["last"])).alias("n")), lambda s: s["n"])
+def covered(ranges):
+    """Tokens within ranges of begin and upto."""
+    zero = F.lit(0).cast("bigint")
+    more = lambda s, r: F.struct(F.greatest(s["last"], r["upto"]).alias("last"), (s["n"] + F.greatest(zero, r["upto"] - F.greatest(s["last"], r["begin"]))).alias("n"))
+    return F.aggregate(F.sort_array(ranges), F.struct(zero.alias("last"), zero.alias("n")), more, lambda s: s["n"])
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", tokens_: int = TOKENS, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, covered, item_tokens, kind: pairs of a document and a benchmark item that it holds."""
     items = item_windows(benchmark, item_id, item_text)
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most LENGTH of them
+    lengths = sorted((r[0], r[1]) for r in items.select("length", "plain").distinct().collect())  # at most LENGTH of either kind
     hits = document_windows(documents, lengths, bitmap(items), doc_id, text)
     met = hits.join(items, ["h", "length", "plain"]).where(F.col("types") == F.col("item_types"))
     pair = F.transform(F.arrays_zip("types", "item_values", "values"), lambda z: F.struct(z["types"].alias("t"), z["item_values"].alias("a"), z["values"].alias("b")))
-    along = met.groupBy("doc_id", "item_id", "length", "size", "plain", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+    along = met.groupBy("doc_id", "item_id", "size", "length", "plain", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("begin", "upto")).alias("ranges"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     forth = F.size(F.array_distinct(F.transform("pairs", lambda z: F.struct(z["t"], z["a"]))))
     named = F.filter("pairs", lambda z: z["t"] != NUMBER)
     back = F.size(F.array_distinct(F.transform(named, lambda z: F.struct(z["t"], z["b"]))))
     consistent = along.where((forth == F.size("pairs")) & (back == F.size(named)))
     same = F.forall("pairs", lambda z: z["a"] == z["b"])
-    whole = consistent.withColumn("same", same).groupBy("doc_id", "item_id", "length", "size").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("same").alias("same"))
-    out = whole.select("doc_id", "item_id", covered(F.col("at"), F.col("length")).alias("covered"), F.col("size").cast("bigint").alias("item_tokens"), F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"))
-    return out.where((F.col("covered") >= tokens_) | (F.col("covered") >= F.col("item_tokens") * share))
+    of_same = F.when(same, F.col("ranges")).otherwise(F.array().cast("array<struct<begin:bigint,upto:bigint>>"))
+    whole = consistent.groupBy("doc_id", "item_id", "size").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list(of_same)).alias("equal"))
+    enough = lambda n: (n >= tokens_) | (n >= F.col("item_tokens") * share)
+    out = whole.select("doc_id", "item_id", covered(F.col("ranges")).alias("covered"), F.col("size").alias("item_tokens"), covered(F.col("equal")).alias("equal"))
+    return out.where(enough(F.col("covered"))).withColumn("kind", F.when(F.col("equal") == F.col("covered"), "exact").otherwise("reparameterised")).drop("equal")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without those that hold a benchmark item. Rows without a doc_id stay."""
-    return documents.join(leaks(documents, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+    """documents without those that hold a benchmark item. Each row is judged by its text, whatever its doc_id."""
+    known = documents.withColumn("__text", F.xxhash64("text"))
+    found = leaks(known.select("__text", "text"), benchmark, "__text").select(F.col("doc_id").alias("__text")).distinct()
+    return known.join(found, "__text", "left_anti").select(*documents.columns)
 
 
 def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from cellsift.llm import decontaminate, ngram_join, polytope
 from cellsift.llm.components import components
+from tests.llm import brute
 from tests.llm.brute import jaccard_components, roots
 
 
@@ -109,6 +110,44 @@ def test_exact_copies_of_items_with_few_words(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).collect()} == {(k, k, "exact") for k in range(1, 6)}
 
 
+def test_reparameterised_questions_are_found(spark):
+    items = [(1, "James has 5 apples now. James eats 2 apples and gives the rest to a friend. How many apples does the friend get?"), (2, "Tom walks twelve miles to the old town and takes a bus back to the station"), (3, "There are five red balls and nine blue balls in the box under the table"), (4, "12 + 34 * 56 - 7 = x")]
+    docs = [
+        (1, "Mary has 7 apples now. Mary eats 3 apples and gives the rest to a friend. How many apples does the friend get?"), (2, "So Tom Brown walks thirty five miles to the old town and takes a bus back to the station."),
+        (3, "There are nine red balls and four blue balls in the box under the table"), (4, "Now 12 + 34 * 56 - 7 = x, they say."), (5, "Mary has 7 apples now. John eats 3 apples."),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).collect()} == {(1, 1, "reparameterised"), (2, 2, "reparameterised"), (3, 3, "reparameterised"), (4, 4, "exact")}
+
+
+def test_leaks_are_those_of_every_window_against_every_window(spark):
+    rng = random.Random(12)
+    words = ["the", "red", "Ball", "rolls", "down", "a", "hill", "and", "Tom", "Anna", "Brown", "5", "7.5", "km", "hours", "five", "nine", "When", "stops", "near", "it.", "James,", "twenty-two", "Straße", "x"]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([2, 5, 9, 16, 25])))) for k in range(14)]
+    docs = []
+    for k in range(120):
+        text = rng.choices(words, k=rng.randint(0, 10))
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                own[rng.randrange(len(own))] = rng.choice(["Bob", "9", "three", "Mary", "red", "12"])
+            text += own + rng.choices(words, k=rng.randint(0, 4))
+        docs.append((k, " ".join(text)))
+    docs += [(200, docs[3][1]), (200, docs[3][1]), (None, items[4][1]), (201, "word " * 20000 + items[4][1]), (202, None), (203, "")]
+    d = spark.createDataFrame([(*x, "clash", 1) for x in docs], "doc_id long, text string, item_id string, h int").repartition(3)
+    b = spark.createDataFrame([*items, (50, items[4][1]), (None, items[4][1]), (51, None)], "item_id long, text string")
+    expected = {}
+    for doc, text in docs:
+        for item, other in [*items, (50, items[4][1])]:
+            if text is not None and (p := brute.pair_of(text if len(text) < 9000 else text[-300:], other)):
+                expected[doc, item] = p
+    got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in decontaminate.leaks(d, b).collect()}
+    assert got == {k: v for k, v in expected.items() if k[0] is not None} and len(got) > 40
+    kept = decontaminate.clean(d, b)
+    leaky = {doc for doc, _ in expected}
+    assert kept.columns == d.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(k) for k, _ in docs if k not in leaky)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
