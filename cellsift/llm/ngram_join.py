@@ -437,10 +437,24 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that are the least doc_id of their component, one row a doc_id, with all their columns. Rows without a doc_id stay."""
-    keep = jaccard_components(documents).where("doc_id = component_id").select("doc_id").distinct()
-    known = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*documents.columns).union(documents.where("doc_id is null"))
+    """One document of each component, with all its columns: of least doc_id, those without one last.
+
+    Each (doc_id, text) is a vertex of its own, so different texts under one doc_id are judged apart; rows that agree in both
+    are one document. Documents without words link with nothing and stay.
+    """
+    known = documents.withColumn("__vertex", F.xxhash64("doc_id", "text"))
+    own = written(jaccard_components(known, doc_id="__vertex").where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")), "vertices")
+    named = known.select("__vertex", F.col("doc_id").alias("id")).join(own.withColumnRenamed("doc_id", "__vertex"), "__vertex")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__vertex", "rows")).alias("best"))
+    keep = written(best.select("best.__vertex", "best.rows"), "kept")
+    alone = known.join(keep.where("rows = 1"), "__vertex", "left_semi")
+    repeated = known.join(keep.where("rows > 1"), "__vertex", "left_semi").dropDuplicates(["__vertex"])
+    empty = known.where(~has_words(F.col("text")))
+    return alone.unionByName(repeated).unionByName(empty).select(*documents.columns)
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,16 @@ def test_ngram_join_with_repeated_rows_and_no_rows(spark, tmp_path):
     assert got == sorted([(5, 2, 3), (5, 2, 3), (3, 2, 3), (None, 2, 3), (None, 1, None), (9, 0, 9)], key=key)
     assert ngram_join.jaccard_components(df.where("doc_id = 77")).count() == 0
     kept = ngram_join.one_of_each(df)
-    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted([rows[2], rows[3], rows[4], rows[5]], key=key)
+    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted([rows[2], rows[4], rows[5]], key=key)
+
+
+def test_one_of_each_judges_texts_not_ids(spark, tmp_path):
+    rows = [(1, "a b c d e f g", 1), (1, "totally other words stand here now", 2), (1, "a b c d e f g", 3), (2, "a b c d e f g", 4), (3, "", 5), (3, "", 6), (None, " \t", 7), (None, None, 8), (0, "totally other words stand here now", 9), (None, "only this one has no id", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, rows long").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = ngram_join.one_of_each(spark.read.parquet(str(tmp_path / "d")))
+    got = sorted(r.rows for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "rows"] and got in ([1, 5, 6, 7, 8, 9, 10], [3, 5, 6, 7, 8, 9, 10])
+    assert ngram_join.one_of_each(kept.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("block", [2048, 40])
