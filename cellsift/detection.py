@@ -8,8 +8,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.operators import evaluation, grouped, pairs, probability, selection
-from cellsift.plans.constraints import Dependency, validate
+from cellsift.functions.values import key, matchable
+from cellsift.operators import distances, evaluation, grouped, pairs, probability, selection
+from cellsift.plans.constraints import Dependency, threshold_index, validate
 from cellsift.plans.strategy import groups_suffice
 from cellsift.sources.tables import IDX
 
@@ -33,7 +34,7 @@ def detect(df: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kind
     if by_group:
         parts.append(grouped.error_cells(df, by_group, kinds, wide, taus))
     if by_pair:
-        parts.append(selection.select_errors(pairs.violations(df, by_pair, kinds), by_pair, selection.long_probabilities(wide, taus), fallback))
+        parts.append(selection.select_errors(pairs.violations(df, by_pair, kinds), by_pair, wide, taus, fallback))
     if not parts:
         raise ValueError("no dependency")
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
@@ -43,18 +44,20 @@ def detect_delta(base: DataFrame, delta: DataFrame, dds: list[Dependency], taus:
     """idx, attr: what appending delta (its _idx from n_old on) to base adds, base rows' cells included.
 
     Equality dependencies look only at the groups that the delta touches; others at pairs with a row of the delta. An
-    empty delta adds nothing. The probabilities, over base and delta, are an argument.
+    empty delta adds nothing. The probabilities, over base and delta, are an argument; a row that they lack counts as of
+    unknown probability. Raises if a row of the delta has a lower _idx.
     """
     validate(dds, kinds, base.columns, taus)
+    least = delta.agg(F.min(IDX)).first()[0]
+    if least is not None and least < n_old:
+        raise ValueError(f"the delta has a row {least}, and its rows should begin at {n_old}")
     both = base.unionByName(delta)
     parts = []
     for d in dds:
         if fallback == "first" and groups_suffice(d):
-            touched = grouped.grouped_rows(delta, d, kinds).select("g").distinct()
-            rows = grouped.grouped_rows(both, d, kinds).join(touched, "g", "left_semi").select(F.col("idx").alias(IDX))
-            parts.append(grouped.error_cells(both.join(rows, IDX, "left_semi"), [d], kinds, wide, taus))
+            parts.append(grouped.error_cells(both, [d], kinds, wide, taus, delta))
         else:
-            parts.append(selection.select_errors(pairs.violations(both, [d], kinds, n_old), [d], selection.long_probabilities(wide, taus), fallback))
+            parts.append(selection.select_errors(pairs.violations(both, [d], kinds, n_old), [d], wide, taus, fallback))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -67,17 +70,46 @@ def detect_incremental(base: DataFrame, delta: DataFrame, dds: list[Dependency],
     return base_errors.select("idx", "attr").union(detect_delta(base, delta, dds, taus, kinds, wide, n_old)).distinct()
 
 
-def report(df: DataFrame, clean: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kinds: Mapping[str, str]) -> DataFrame:
-    """One row: scores, seconds of finding pairs and of choosing errors, and coverage."""
-    spark, begun = df.sparkSession, time.time()
-    found = pairs.violations(df, dds, kinds).select("i", "j").distinct().persist()
-    found.count()
-    paired = time.time()
-    errors = detect(df, dds, taus, kinds).persist()
-    errors.count()
-    done = time.time()
-    row = evaluation.scores(errors, evaluation.difference(df, clean)).first()
-    message = evaluation.coverage_message(evaluation.uncovered(found, errors))
-    found.unpersist()
-    errors.unpersist()
-    return spark.createDataFrame([(row.precision, row.recall, row.f1, paired - begun, done - paired, done - begun, message)], "precision double, recall double, f1 double, pair_seconds double, detection_seconds double, total_seconds double, coverage string")
+def timed(df: DataFrame) -> tuple[DataFrame, float]:
+    """df, computed and held, and how long that took."""
+    begun = time.time()
+    df = df.persist()
+    df.count()
+    return df, time.time() - begun
+
+
+RESULT = "Precision double, Recall double, F1 double, BuildLookupTime double, ClusterTime double, FindVioPairsTime double, EDetTime double, TotalTime double, Coverage string"
+SUMMARY = "`Base_Size(k)` bigint, `Inc_Size(k)` bigint, Length_Original bigint, Length_Incremental bigint, Time_Original_Total double, Time_Inc_Total double, Precision double, Recall double, F1 double"
+
+
+def report(df: DataFrame, clean: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kinds: Mapping[str, str], wide: DataFrame | None = None) -> DataFrame:
+    """One row: scores, seconds of the value distances, clusters, violating pairs and error cells and their sum, and coverage.
+
+    Scoring and the comparison with the clean copy aren't timed. Distances and clusters are only measured here: finding pairs
+    doesn't need them.
+    """
+    spark = df.sparkSession
+    wide = probabilities_for(df, dds) if wide is None else wide
+    near = {a: max(t) for a, t in threshold_index(dds).items()}
+    tables = [distances.neighbours(df.where(matchable(df, a)).select(key(F.col(f"`{a}`"), kinds[a]).alias("k")).distinct(), kinds[a], t) for a, t in near.items()]
+    held = [timed(t) for t in tables]
+    clusters = timed(pairs.clusters(df, dds, kinds))
+    found = timed(pairs.violations(df, dds, kinds).select("i", "j").distinct())
+    errors = timed(detect(df, dds, taus, kinds, wide))
+    row = evaluation.scores(errors[0], evaluation.difference(df, clean)).first()
+    message = evaluation.coverage_message(evaluation.uncovered(found[0], errors[0]))
+    seconds = [sum(s for _, s in held), clusters[1], found[1], errors[1]]
+    for t, _ in [*held, clusters, found, errors]:
+        t.unpersist()
+    return spark.createDataFrame([(row.precision, row.recall, row.f1, *seconds, sum(seconds), message)], RESULT)
+
+
+def summary(base: DataFrame, delta: DataFrame, clean: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kinds: Mapping[str, str], wide: DataFrame, n_old: int) -> DataFrame:
+    """One row: sizes of base and delta in thousands of rows and in rows, seconds of either run, and scores of both together."""
+    spark, rows, more = base.sparkSession, base.count(), delta.count()
+    before = timed(detect(base, dds, taus, kinds, wide))
+    added = timed(detect_delta(base, delta, dds, taus, kinds, wide, n_old))
+    row = evaluation.scores(before[0].union(added[0]).distinct(), evaluation.difference(base.unionByName(delta), clean)).first()
+    for t, _ in (before, added):
+        t.unpersist()
+    return spark.createDataFrame([(rows // 1000, (rows + more) // 1000, rows, more, before[1], added[1], row.precision, row.recall, row.f1)], SUMMARY)

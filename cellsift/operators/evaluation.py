@@ -22,6 +22,13 @@ def difference(dirty: DataFrame, clean: DataFrame) -> DataFrame:
     return left.join(right, [IDX, "attr"]).where(text("value") != text("other")).select(F.col(IDX).alias("idx"), "attr")
 
 
+def null_cells(df: DataFrame) -> DataFrame:
+    """attr, n: null cells of each attribute of a clean copy, where no error can be told from a missing value."""
+    names = attributes(df)
+    one = df.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in names))
+    return one.unpivot([], names, "attr", "n")
+
+
 def scores(errors: DataFrame, truth: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall, f1; 0 where a denominator is."""
     a = errors.select("idx", "attr").distinct().withColumn("e", F.lit(1))

@@ -44,15 +44,19 @@ def pair_counts(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str])
     return reduce(DataFrame.unionByName, parts)
 
 
-def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float]) -> DataFrame:
-    names = list(dd.attrs)
+def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None) -> DataFrame:
+    names = [n for n in dd.attrs if n in wide.columns]
     p = {n: F.when(~F.isnan(F.col(f"p_{n}")), F.col(f"p_{n}")) for n in names}
     scores = wide.select(F.col(IDX).alias("idx"), *(F.col(f"`{n}`").cast("double").alias(f"p_{n}") for n in names))
-    rows = grouped_rows(df, dd, kinds).join(scores, "idx")
-    cells = F.array(*(F.struct(p[n].alias("p"), F.lit(k).alias("pos"), F.col("idx").alias("idx"), F.lit(n).alias("attr")) for k, n in enumerate(names)))
+    rows = grouped_rows(df, dd, kinds)
+    if touched is not None:
+        rows = rows.join(grouped_rows(touched, dd, kinds).select("g").distinct(), "g", "left_semi").select("idx", "g", "r")
+    rows = rows.join(scores, "idx", "left")  # a row without probabilities is a partner like any other
+    cells = F.array(*(F.struct(p[n].alias("p"), F.lit(k).alias("pos"), F.col("idx").alias("idx"), F.lit(n).alias("attr")) for k, n in enumerate(dd.attrs) if n in p))
     known = F.filter(cells, lambda c: c["p"].isNotNull())
     low = F.filter(known, lambda c: reduce(lambda a, b: a | b, ((c["attr"] == n) & (c["p"] < float(taus[n])) for n in names)))
-    first_low = F.coalesce(p[names[0]] < float(taus[names[0]]), F.lit(False))
+    lead = dd.attrs[0]
+    first_low = F.coalesce(p[lead] < float(taus[lead]), F.lit(False)) if lead in p else F.lit(False)
     rows = rows.select("idx", "g", "r", F.array_min(known).alias("least"), F.transform(low, lambda c: c["attr"]).alias("low"), first_low.alias("first_low"))
     # A row without any known cell is a partner with a greater least cell than all.
     top = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("cell"))
@@ -77,9 +81,9 @@ def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataF
     return low.union(least)
 
 
-def error_cells(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float]) -> DataFrame:
-    """idx, attr of all dependencies, as select_errors gives them with fallback `first`."""
-    return reduce(DataFrame.union, (_errors(df, d, kinds, wide, taus) for d in dds)).distinct()
+def error_cells(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None) -> DataFrame:
+    """idx, attr of all dependencies, as select_errors gives them with fallback `first`. touched: rows of df; only their groups are looked at."""
+    return reduce(DataFrame.union, (_errors(df, d, kinds, wide, taus, touched) for d in dds)).distinct()
 
 
 __all__ = ["error_cells", "grouped_rows", "pair_counts"]

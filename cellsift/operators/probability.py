@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsift.sources.tables import IDX, attributes
@@ -68,17 +68,18 @@ def joint_probability(df: DataFrame, target: str, exclude: tuple[str, ...] = ())
         gained = each.join(counts(dense), ["a", "v"]).groupBy("__d", "__c").agg(F.sum("w").alias("w"))
         scored = scored.join(gained, ["__d", "__c"], "left").select("__d", "__c", (F.col("b") + F.coalesce("w", F.lit(0.0))).alias("b"))
     # Log of the sum over all classes, for each combination.
-    top = Window.partitionBy("__d")
-    rest = scored.withColumn("t", F.max("b").over(top)).groupBy("__d").agg((F.max("t") + F.ln(F.sum(F.exp(F.col("b") - F.col("t"))))).alias("z"))
+    # Without dense features there is one combination; it is never a key to join on.
+    of_all = (lambda a, b: a.join(b, "__d")) if dense else (lambda a, b: a.crossJoin(F.broadcast(b.drop("__d"))))
+    rest = of_all(scored, scored.groupBy("__d").agg(F.max("b").alias("t"))).groupBy("__d").agg((F.max("t") + F.ln(F.sum(F.exp(F.col("b") - F.col("t"))))).alias("z"))
     own = keyed.select(IDX, "__d", F.col("__c").alias("own"))
     if not sparse:
-        out = own.join(scored, (own["__d"] == scored["__d"]) & (own["own"] == scored["__c"])).select(IDX, own["__d"], "b").join(rest, "__d")
-        return out.select(IDX, F.round(F.exp(F.col("b") - F.col("z")), DIGITS).alias("p"))
+        out = own.join(scored, (own["__d"] == scored["__d"]) & (own["own"] == scored["__c"])).select(IDX, own["__d"], "b")
+        return of_all(out, rest).select(IDX, F.round(F.exp(F.col("b") - F.col("z")), DIGITS).alias("p"))
     cells = keyed.select(IDX, "__d", F.col("__c").alias("own"), *(F.col(f"`{a}`") for a in sparse)).unpivot([IDX, "__d", "own"], sparse, "a", "v")
     met = cells.join(counts(sparse), ["a", "v"]).groupBy(IDX, "__d", "own", "__c").agg(F.sum("w").alias("s"))
     terms = met.join(scored, ["__d", "__c"]).withColumn("t", F.col("b") + F.col("s"))
     per_row = terms.groupBy(IDX, "__d").agg(F.max("t").alias("most"), F.max(F.when(F.col("own") == F.col("__c"), F.col("t"))).alias("mine"), F.collect_list(F.struct("t", "s")).alias("all"))
-    joined = per_row.join(rest, "__d").withColumn("r", F.greatest("most", "z"))
+    joined = of_all(per_row, rest).withColumn("r", F.greatest("most", "z"))
     more = F.aggregate("all", F.lit(0.0), lambda acc, x: acc - F.exp(x["t"] - F.col("r")) * F.expm1(-x["s"]))
     return joined.select(IDX, F.round(F.exp(F.col("mine") - F.col("r")) / (F.exp(F.col("z") - F.col("r")) + more), DIGITS).alias("p"))
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.operators.pairs import hyper_edges
 from cellsift.plans.constraints import Dependency
 from cellsift.sources.tables import IDX
 
@@ -20,12 +20,25 @@ def long_probabilities(wide: DataFrame, taus: Mapping[str, float]) -> DataFrame:
     return p.select("idx", "attr", F.when(~F.isnan("p"), F.col("p")).alias("p"), tau[F.col("attr")].alias("tau"))
 
 
-def select_errors(found: DataFrame, dds: Iterable[Dependency], probabilities: DataFrame, fallback: str = "first") -> DataFrame:
-    """idx, attr. fallback: the least cell is added if no cell of the `first` attribute, or none of the whole `edge`, is low."""
-    edges = hyper_edges(found, dds).withColumn("rank", F.floor(F.col("pos") / 2))
-    cells = edges.join(probabilities, ["idx", "attr"]).withColumn("low", F.coalesce(F.col("p") < F.col("tau"), F.lit(False)))
-    asked = F.col("low") & (F.col("rank") == 0) if fallback == "first" else F.col("low")
-    least = F.min_by(F.struct("idx", "attr"), F.when(F.col("p").isNotNull(), F.struct("p", "rank", "idx")))
-    per = cells.groupBy("dd_id", "i", "j").agg(F.bool_or(asked).alias("has"), least.alias("least"), F.count("p").alias("known"))
-    low = cells.where("low").select("idx", "attr")
-    return low.union(per.where("not has and known > 0").select("least.idx", "least.attr")).distinct()
+def select_errors(found: DataFrame, dds: Iterable[Dependency], wide: DataFrame, taus: Mapping[str, float], fallback: str = "first") -> DataFrame:
+    """idx, attr of violating pairs (dd_id, i, j). wide: probabilities by _idx; a row or value that it lacks counts as unknown.
+
+    fallback: the least cell is added if no cell of the `first` attribute, or none of the whole `edge`, is low. A pair's
+    cells stand in one row, so pairs are joined with either side's probabilities and never grouped.
+    """
+    parts = []
+    for k, d in enumerate(dds):
+        names = [*(a.attr for a in d.left), d.right.attr]
+        known = [n for n in dict.fromkeys(names) if n in wide.columns]
+        p = F.struct(*(F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None)).alias(n) for n in known)) if known else F.struct(F.lit(None).alias("none"))
+        rows = found.where(F.col("dd_id") == k).select("i", "j")
+        for side in "ij":
+            rows = rows.join(wide.select(F.col(IDX).alias(side), p.alias("p" + side)), side, "left")
+        value = lambda n, side: F.col("p" + side)[n] if n in known else F.lit(None).cast("double")  # noqa: E731, B023
+        cells = [F.struct(value(n, side).alias("p"), F.lit(rank).alias("rank"), F.col(side).alias("idx"), F.lit(n).alias("attr")) for rank, n in enumerate(names) for side in "ij"]
+        low = [F.coalesce(value(n, side) < float(taus[n]), F.lit(False)) if n in taus else F.lit(False) for n in names for side in "ij"]
+        has = reduce(lambda a, b: a | b, low[:2] if fallback == "first" else low)
+        least = F.array_min(F.filter(F.array(*cells), lambda c: c["p"].isNotNull()))
+        flagged = F.array_compact(F.array(*(F.when(x, c) for x, c in zip(low, cells, strict=True)), F.when(~has, least)))
+        parts.append(rows.select(F.explode(flagged).alias("c")).select("c.idx", "c.attr"))
+    return reduce(DataFrame.union, parts).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from cellsift import detection
 from cellsift.functions.values import strip
 from cellsift.operators import distances, evaluation, grouped, pairs, probability, selection
-from cellsift.plans.constraints import INT, STRING, dependency, equal, threshold_index
-from cellsift.sources.tables import IDX, cell_id, parse_cell_id, with_index
+from cellsift.plans.constraints import INT, STRING, dependency, equal, parse_dependencies, parse_thresholds, threshold_index
+from cellsift.sources.tables import IDX, cell_id, parse_cell_id, read_csv, shared_folder, with_index, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,12 +94,13 @@ def string_distance_distinct(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT DISTINCT 's_acctbal' AS attr, CAST(s_acctbal AS VARCHAR) AS v, trunc(s_acctbal) AS x FROM supplier UNION SELECT DISTINCT 's_nationkey', CAST(s_nationkey AS VARCHAR), trunc(CAST(s_nationkey AS DOUBLE)) FROM supplier) SELECT a.attr, CAST(sum(abs(a.x - b.x)) AS BIGINT) AS total, count(*) AS n FROM v a JOIN v b ON a.attr = b.attr AND a.v <= b.v GROUP BY a.attr"
+    "WITH v AS (SELECT DISTINCT 'balance' AS attr, CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) || '.75' AS v FROM supplier UNION SELECT DISTINCT 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier) SELECT a.attr, a.v AS v1, b.v AS v2, CAST(abs(trunc(CAST(a.v AS DOUBLE)) - trunc(CAST(b.v AS DOUBLE))) AS BIGINT) AS dist FROM v a JOIN v b ON a.attr = b.attr AND a.v <= b.v"
 )
 def int_distance_distinct(spark, sf_dir):
-    """Sums, as engines print doubles differently."""
-    found = distances.value_distances(rows(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", "s_nationkey"), {"s_acctbal": INT, "s_nationkey": INT})
-    return found.groupBy("attr").agg(F.sum("dist").alias("total"), F.count(F.lit(1)).alias("n"))
+    """Texts of numbers with a fraction, negative ones too: the distance is between whole parts."""
+    df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", "s_nationkey")
+    text = df.select(IDX, F.concat(F.floor("s_acctbal").cast("string"), F.lit(".75")).alias("balance"), F.col("s_nationkey").cast("string").alias("nation"))
+    return distances.value_distances(text, {"balance": INT, "nation": INT})
 
 
 @query("SELECT 's_nationkey' AS attr, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
@@ -116,10 +118,10 @@ def clusters_refined(spark, sf_dir):
     return pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name"), REFINED, {"s_nationkey": INT, "s_name": STRING})
 
 
-@query("SELECT 's_nationkey' AS attr, a.s_suppkey AS i, count(*) AS n, CAST(min(b.s_suppkey) AS BIGINT) AS first_j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_suppkey")
+@query("SELECT 's_nationkey' AS attr, a.s_suppkey AS i, string_agg(CAST(b.s_suppkey AS VARCHAR), ',' ORDER BY b.s_suppkey) AS js FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_suppkey")
 def clusters_nested(spark, sf_dir):
     found = pairs.nested(pairs.clusters(rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), [equal([], "s_nationkey")], {"s_nationkey": INT}))
-    return found.select("attr", "i", F.size("js").cast("bigint").alias("n"), F.col("js")[0].alias("first_j"))
+    return found.select("attr", "i", F.array_join(F.transform("js", lambda j: j.cast("string")), ",").alias("js"))
 
 
 FD_SQL = (
@@ -241,9 +243,9 @@ def marginal_probability(spark, sf_dir):
     return found.select(F.col(IDX).alias("idx"), F.round("p", 6).alias("p"))
 
 
-def errors_sql(pairs_sql: str, names: list[str], taus: dict[str, float], edge: bool = False) -> str:
-    """Selection by pairs, with the made-up probabilities."""
-    p = lambda k, side: f"(({side} * 37 + {101 * k}) % 1000) / 1000.0"
+def errors_sql(pairs_sql: str, names: list[str], taus: dict[str, float], edge: bool = False, scored: bool = False) -> str:
+    """Selection by pairs, with the made-up probabilities, or those that the pairs bring along as i0, j0, i1, ..."""
+    p = lambda k, side: f"{side}{k}" if scored else f"(({side} * 37 + {101 * k}) % 1000) / 1000.0"
     cells = " UNION ALL ".join(f"SELECT i, j, {k} AS pos, {side} AS idx, '{n}' AS attr, {p(k, side)} AS p, {p(k, side)} < {taus[n]} AS low FROM v" for k, n in enumerate(names) for side in "ij")
     asked = "bool_or(low)" if edge else "bool_or(low AND pos = 0)"
     return (
@@ -361,12 +363,110 @@ def incremental_error_cells(spark, sf_dir):
     return detection.detect_incremental(df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n), [PRIORITY], ORDER_TAUS, ORDER_KINDS, made_up(df, ["o_custkey", "o_orderpriority"]), n)
 
 
-@query()
+SCORED_PAIRS = f"WITH r AS ({NB_ROWS}), px AS ({nb_sql('x', 'y', 'z')}), py AS ({nb_sql('y', 'x', 'z')}), p AS (SELECT px.idx, round(px.p, 12) AS p0, round(py.p, 12) AS p1 FROM px JOIN py ON px.idx = py.idx) SELECT f.i, f.j, a.p0 AS i0, a.p1 AS i1, b.p0 AS j0, b.p1 AS j1 FROM ({FD_SQL}) f JOIN p a ON a.idx = f.i JOIN p b ON b.idx = f.j"
+
+
+@query(errors_sql(SCORED_PAIRS, CUSTOMER, CUSTOMER_TAUS, scored=True))
 def detection_with_scores(spark, sf_dir):
     """The complete batch: naive-Bayes scores, then error cells."""
     return detection.detect(scored_customer(spark, sf_dir), [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS)
 
 
+SEVERAL = [dependency({"s_name": ("<=", 2.0)}, ("s_nationkey", ("<=", 0.0))), dependency({"s_nationkey": ("<=", 0.0), "s_acctbal": (">", 1000.0)}, ("s_name", ("<=", 1.0))), dependency({"s_nationkey": (">", 3.0)}, ("s_acctbal", ("<=", 5000.0)))]
+SEVERAL_KINDS = {"s_nationkey": INT, "s_acctbal": INT, "s_name": STRING}
+SEVERAL_TAUS = {"s_name": 0.1, "s_nationkey": 0.2, "s_acctbal": 0.15}
+_name, _balance = "levenshtein(replace(a.s_name, ' ', ''), replace(b.s_name, ' ', ''))", "abs(trunc(a.s_acctbal) - trunc(b.s_acctbal))"
+_wheres = [f"{_name} <= 2 AND a.s_nationkey <> b.s_nationkey", f"a.s_nationkey = b.s_nationkey AND NOT {_balance} <= 1000 AND NOT {_name} <= 1", f"NOT abs(a.s_nationkey - b.s_nationkey) <= 3 AND NOT {_balance} <= 5000"]
+SEVERAL_SQL = [f"SELECT {k} AS dd_id, a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey >= {CUT.format(t='supplier')} WHERE {w}" for k, w in enumerate(_wheres)]
+
+
+@query(" UNION ALL ".join(SEVERAL_SQL))
+def delta_violations_several(spark, sf_dir):
+    """Fuzzy rules and ones with `>`, several at once, for appended rows."""
+    df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal", "s_name")
+    return pairs.violations(df, SEVERAL, SEVERAL_KINDS, base_rows(df))
+
+
+@query(" UNION ".join(f"SELECT * FROM ({errors_sql(sql, [*(a.attr for a in d.left), d.right.attr], SEVERAL_TAUS)})" for sql, d in zip(SEVERAL_SQL, SEVERAL, strict=True)))
+def delta_errors_several(spark, sf_dir):
+    """Error cells that appended rows add, rule by rule, as made-up probabilities follow a rule's own order of attributes."""
+    df = rows(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal", "s_name")
+    n = base_rows(df)
+    base, delta = df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n)
+    parts = [detection.detect_delta(base, delta, [d], SEVERAL_TAUS, SEVERAL_KINDS, made_up(df, list(d.attrs)), n) for d in SEVERAL]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+LITERAL = """[({'city': ('<=', 0.0), 'name': ('>', 2)}, ('zip', ('<=', 1.5))), ({'zip': ('<=', 0.0)}, ('city', ('<=', 0.0)))]"""
+LITERAL_TAUS = "{'city': 0.1, 'zip': 0.65, 'name': 1}"
+
+
+@query("SELECT dd_id, place, attr, op, CAST(threshold AS DOUBLE) AS threshold, CAST(tau AS DOUBLE) AS tau FROM (VALUES (0, 0, 'city', '<=', 0.0, 0.1), (0, 1, 'name', '>', 2.0, 1.0), (0, 2, 'zip', '<=', 1.5, 0.65), (1, 0, 'zip', '<=', 0.0, 0.65), (1, 1, 'city', '<=', 0.0, 0.1)) t(dd_id, place, attr, op, threshold, tau)")
+def literal_configuration(spark, sf_dir):
+    """Rules and probability thresholds from their text form."""
+    taus = parse_thresholds(LITERAL_TAUS)
+    atoms = [(k, p, a.attr, a.op, a.threshold, taus[a.attr]) for k, d in enumerate(parse_dependencies(LITERAL)) for p, a in enumerate((*d.left, d.right))]
+    return spark.createDataFrame(atoms, "dd_id int, place int, attr string, op string, threshold double, tau double")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, CASE WHEN turn % 7 = 0 THEN NULL WHEN turn % 5 = 0 THEN ' a \"quoted\", text' || chr(10) || 'in two lines ' ELSE text END AS text FROM conversations")
+def csv_round_trip(spark, sf_dir):
+    """Cells written as CSV and read again as text: quotes, line ends and blanks stay, NA comes back as null."""
+    turn = F.col("turn")
+    text = F.when(turn % 7 == 0, F.lit("NA")).when(turn % 5 == 0, F.lit(' a "quoted", text\nin two lines ')).otherwise(F.col("text"))
+    return again(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", text.alias("text")), "cells")
+
+
+def again(df: DataFrame, name: str) -> DataFrame:
+    """df after a way through CSV files in a folder that all machines share."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    write_csv(df, path)
+    return read_csv(df.sparkSession, path)
+
+
+@query(JOINT_SQL)
+def probability_file(spark, sf_dir):
+    """Probabilities as a CSV file, read back as numbers."""
+    read = again(probability.joint_probabilities(scored_customer(spark, sf_dir), CUSTOMER), "probabilities")
+    number = lambda c, name: F.round(F.col(c).cast("double"), 6).alias(name)
+    return read.select(F.col(IDX).cast("bigint").alias("idx"), number("c_nationkey", "p_nation"), number("c_mktsegment", "p_segment"))
+
+
+@query("SELECT 'c_mktsegment' AS attr, count(*) FILTER (WHERE c_custkey % 9 <> 0 AND c_mktsegment IS NULL) AS n FROM customer UNION ALL SELECT 'c_nationkey', count(*) FILTER (WHERE c_custkey % 13 = 0) FROM customer")
+def null_clean_cells(spark, sf_dir):
+    return evaluation.null_cells(clean_customer(customer(spark, sf_dir)))
+
+
+SCORES_SQL = "SELECT round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 9) AS precision_, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 9) AS recall_, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM (SELECT count(*) FILTER (WHERE e.idx IS NOT NULL AND t.idx IS NOT NULL) AS tp, count(*) FILTER (WHERE t.idx IS NULL) AS fp, count(*) FILTER (WHERE e.idx IS NULL) AS fn FROM e FULL JOIN t ON e.idx = t.idx AND e.attr = t.attr)"
+
+
+def rounded_scores() -> list:
+    return [F.round(c, 9).alias(n) for c, n in (("Precision", "precision_"), ("Recall", "recall_"), ("F1", "f1"))]
+
+
+@query(f"WITH e AS ({ERRORS_SQL}), t AS ({DIFF_SQL}), s AS ({SCORES_SQL}) SELECT precision_, recall_, f1, true AS timed, 'All violating pairs are covered.' AS coverage FROM s")
+def batch_result(spark, sf_dir):
+    """The row that a batch run ends with; its seconds only as far as they add up."""
+    df = customer(spark, sf_dir)
+    found = detection.report(df, clean_customer(df), [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS, made_up(df, CUSTOMER))
+    times = [F.col(c) for c in ("BuildLookupTime", "ClusterTime", "FindVioPairsTime", "EDetTime")]
+    timed = (F.least(*times) > 0) & (F.abs(F.col("TotalTime") - sum(times[1:], times[0])) < 1e-9)
+    return found.select(*rounded_scores(), timed.alias("timed"), F.col("Coverage").alias("coverage"))
+
+
+@query(
+    f"WITH e AS ({ERRORS_SQL}), t AS ({DIFF_SQL}), s AS ({SCORES_SQL}), n AS (SELECT count(*) AS rows_, count(*) * 4 // 5 AS cut FROM customer) "
+    "SELECT CAST(count(*) FILTER (WHERE c_custkey < cut) // 1000 AS BIGINT) AS base_size, CAST(count(*) // 1000 AS BIGINT) AS inc_size, count(*) FILTER (WHERE c_custkey < cut) AS length_original, count(*) FILTER (WHERE c_custkey >= cut) AS length_incremental, precision_, recall_, f1, true AS timed FROM customer, n, s GROUP BY precision_, recall_, f1"
+)
+def incremental_summary(spark, sf_dir):
+    """The row that a base run and a delta run end with."""
+    df = customer(spark, sf_dir)
+    n = base_rows(df)
+    found = detection.summary(df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n), clean_customer(df), [NATION], CUSTOMER_TAUS, CUSTOMER_KINDS, made_up(df, CUSTOMER), n)
+    sizes = [F.col(a).alias(b) for a, b in (("`Base_Size(k)`", "base_size"), ("`Inc_Size(k)`", "inc_size"), ("Length_Original", "length_original"), ("Length_Incremental", "length_incremental"))]
+    return found.select(*sizes, *rounded_scores(), (F.least("Time_Original_Total", "Time_Inc_Total") > 0).alias("timed"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection_with_scores(spark, sf_dir)
 

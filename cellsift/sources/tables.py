@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 IDX = "_idx"
 # What counts as a missing value in a CSV file.
@@ -29,8 +31,26 @@ def with_index(df: DataFrame, by: str | None = None, start: int = 0) -> DataFram
     """df with _idx: a dense key column that is there already, or the rows' position in the input."""
     if by is not None:
         return df.withColumn(IDX, F.col(by).cast("bigint") + start)
-    schema = T.StructType([*df.schema.fields, T.StructField(IDX, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)).toDF(schema)
+    # Ids that Spark gives are a partition's number and the place within it; what other partitions hold before makes them dense.
+    spread = df.withColumn(IDX, F.monotonically_increasing_id())
+    part, place = F.shiftright(IDX, 33), F.col(IDX).bitwiseAND((1 << 33) - 1)
+    counts = {r.part: r.n for r in spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
+    first = dict(zip(sorted(counts), [start, *accumulate(counts[k] for k in sorted(counts))], strict=False)) if counts else {}
+    before = [first.get(k, 0) + (start if k != min(counts) else 0) for k in range(max(counts, default=-1) + 1)] if counts else [start]
+    return spread.withColumn(IDX, (F.element_at(F.lit(before), (part + 1).cast("int")) + place).cast("bigint"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by the session's checkpoint setting. Only where all run on one machine may it be unset."""
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    path = there.get() if there.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellsift-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def attributes(df: DataFrame) -> list[str]:

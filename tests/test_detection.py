@@ -52,7 +52,7 @@ def test_violations_and_errors_match_a_pairwise_evaluator(spark, seed):
     assert {tuple(r) for r in late.collect()} == plain.violations(rows, DDS, KINDS, 20)
     p, wide = chances(spark, seed, rows)
     for fallback in ("first", "edge"):
-        got = selection.select_errors(found, DDS, selection.long_probabilities(wide, TAUS), fallback)
+        got = selection.select_errors(found, DDS, wide, TAUS, fallback)
         assert {tuple(r) for r in got.collect()} == plain.errors(expected, DDS, p, TAUS, fallback)
 
 
@@ -83,6 +83,46 @@ def test_delta_adds_up_to_the_whole(spark):
     assert nothing.count() == 0
 
 
+def test_a_delta_must_follow_its_base(spark):
+    df = frame(spark, table(6, 12))
+    _, wide = chances(spark, 6, range(12))
+    with pytest.raises(ValueError, match="begin at 9"):
+        detection.detect_delta(df.where("_idx < 9"), df.where("_idx >= 8"), [equal("a", "b")], TAUS, KINDS, wide, 9)
+
+
+def test_rows_without_probabilities_are_partners_like_any(spark):
+    """Of unknown probability, by groups and by pairs: never an error themselves, but their partners may be."""
+    rows = {0: {"a": "x", "b": "1", "n": 0}, 1: {"a": "x", "b": "2", "n": 0}, 2: {"a": "x", "b": "3", "n": 0}}
+    df = frame(spark, rows)
+    p, wide = {0: {"a": 0.9, "b": 0.05}, 1: {"a": 0.9, "b": 0.5}, 2: {"a": None, "b": None}}, spark.createDataFrame([(0, 0.9, 0.05), (1, 0.9, 0.5)], "_idx long, a double, b double")
+    dds = [equal("a", "b")]
+    expected = plain.errors(plain.violations(rows, dds, KINDS), dds, p, TAUS)
+    for strategy in ("auto", "pairs"):
+        assert {tuple(r) for r in detection.detect(df, dds, TAUS, KINDS, wide, strategy=strategy).collect()} == expected == {(0, "b"), (1, "b")}
+
+
+def test_stream_scores_rows_as_they_arrive(spark, tmp_path):
+    rows = {0: {"a": "x", "b": "1", "n": 0}, 1: {"a": "x", "b": "2", "n": 0}, 2: {"a": "x", "b": "3", "n": 0}, 3: {"a": "y", "b": "3", "n": 0}}
+    df = frame(spark, rows)
+    scored = lambda old, new: old.unionByName(new).select(IDX, F.lit(0.9).alias("a"), (0.05 + 0.1 * F.col(IDX)).alias("b"))
+    fixed = scored(df.where("_idx < 2"), df.where("false"))
+    for name, wide, expected in (("live", scored, {(0, "b"), (1, "b")}), ("fixed", fixed, {(0, "b"), (1, "b")})):
+        sink = AppendOnly(str(tmp_path / f"rows-{name}"), str(tmp_path / f"errors-{name}"), [equal("a", "b")], {"a": 0.1, "b": 0.1}, KINDS, wide)
+        sink(df.where("_idx < 2"), 0)
+        sink(df.where("_idx >= 2"), 1)
+        errors = spark.read.parquet(str(tmp_path / f"errors-{name}"))
+        assert {tuple(r) for r in errors.select("idx", "attr").distinct().collect()} == expected, name
+        assert errors.where("batch = 1").count() == 2  # rows 0 and 1 again, which row 2 contradicts
+
+
+def test_index_is_dense_in_order_and_without_python(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 != 0 or id > 600").withColumnRenamed("id", "v")
+    got = with_index(df, start=5)
+    assert [(r.v, r[IDX]) for r in got.collect()] == [(r.v, k + 5) for k, r in enumerate(df.collect())]
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert with_index(df.where("false")).count() == 0
+
+
 def test_stream_of_deltas_adds_up_to_the_whole(spark, tmp_path):
     rows = table(7, 24)
     df = frame(spark, rows)
@@ -229,4 +269,7 @@ def test_report(spark):
     rows = {i: {"a": "x" if i < 4 else "y", "b": "1" if i != 2 else "9", "n": i % 2} for i in range(8)}
     df, clean = frame(spark, rows), frame(spark, {i: r | {"b": "1"} for i, r in rows.items()})
     row = detection.report(df, clean, [equal("a", "b")], {"a": 0.0, "b": 0.0}, KINDS).first()
-    assert row.recall == 1.0 and "covered" in row.coverage
+    assert row.Recall == 1.0 and "covered" in row.Coverage and row.TotalTime >= row.EDetTime > 0
+    wide = df.select(IDX, F.lit(0.5).alias("a"), (F.col(IDX) / 100).alias("b"))
+    row = detection.summary(df.where("_idx < 6"), df.where("_idx >= 6"), clean, [equal("a", "b")], {"a": 0.0, "b": 0.0}, KINDS, wide, 6).first()
+    assert (row["Base_Size(k)"], row["Inc_Size(k)"], row.Length_Original, row.Length_Incremental) == (0, 0, 6, 2) and row.Time_Inc_Total > 0
