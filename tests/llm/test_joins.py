@@ -87,6 +87,22 @@ def test_vectors(spark, monkeypatch, block):
     assert polytope.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("d", [8, 24, 64, 384])
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
+def test_recall_does_not_fall_with_the_number_of_vectors(d, n):
+    """Pairs just over the threshold, other ones than the plan was made with."""
+    joined, tables, keys = polytope.plan(n, d)
+    a, b = polytope.made_up(d, 0.951, 600, 12345)
+    assert polytope.meet(polytope.keys_of(a, joined, tables, keys), polytope.keys_of(b, joined, tables, keys)).any(1).mean() >= 0.95
+
+
+def test_vectors_of_many_lengths_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], "x", 9), (1, [0.0, 1.0], "x", 9), (2, [2.0, 0.0], "x", 9), (3, [1.0, 0.0, 0.0], "x", 9), (None, [3.0, 0.0], "x", 9), (None, [0.0, 0.0, 5.0], "x", 9), (4, [5.0], "x", 9), (5, [7.0], "x", 9), (6, [-7.0], "x", 9), (7, [], "x", 9), (8, [1e300, 1e300], "x", 9), (9, [1.0, 1.0], "x", 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, n long")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in polytope.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False)], key=str)
+
+
 def test_a_pair_counts_once_in_whatever_order_its_rows_come():
     names = ["group", "key", "side", "vec_id", "m", "x", "keys"]
     x = np.array([1.0, 0.0]).tobytes()
