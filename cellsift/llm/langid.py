@@ -5,9 +5,11 @@ falling count. A document's profile is compared with each language's by the out-
 document's n-grams of the difference of ranks, and the profile's length for an n-gram that the language lacks. The
 least distance names the language; the score is 1 minus it, over the greatest possible.
 
+Learning: from all rows given, LANGUAGES labels at most (those with most n-grams); others are never predicted.
+
 Cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing was learned; equal
 counts are ranked by the n-gram's code and equal distances by the language's name, so results don't depend on order;
-repeated rows get equal results; an empty table gives an empty result; of further columns only those asked for pass.
+repeated rows get equal results; very long texts are read whole; an empty table gives an empty result; of further columns only those asked for pass.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from functools import cache as once
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, spans, table, written
+from cellsift.llm.common import buffers, lean, mix, spans, table, written
 from cellsift.llm.sample import fold
 
 ORDERS = (1, 2, 3)
@@ -31,6 +33,8 @@ OF_DOCUMENT, OF_LANGUAGE = 300, 1000
 CHUNK = 1 << 19
 #: Distinct n-grams that a partition of learning texts keeps exact counts of between two writes.
 KEPT = 200_000
+#: Languages that are learned at most, so that a column of dirt can't make the profiles grow without end; bits of an n-gram's code.
+LANGUAGES, CODE_BITS = 256, 44
 
 
 @once
@@ -45,7 +49,7 @@ def letters() -> np.ndarray:
 
 
 def grams(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of the n-grams of several texts, and each one's text."""
+    """Codes of the n-grams of several texts (CODE_BITS of a hash), and each one's text."""
     places = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     low = letters()[points]
@@ -76,27 +80,25 @@ def grams(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = np.full(m, n, np.uint64)
         for k in range(n):
             key = (key << np.uint64(21)) ^ (key >> np.uint64(43)) ^ marked[k : k + m]
-        codes.append(key[whole])
+        codes.append(mix(key[whole]) >> np.uint64(64 - CODE_BITS))
         of.append(own[:m][whole])
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    key = np.concatenate(codes)
-    return (key & np.uint64((1 << 63) - 1)), np.concatenate(of)
+    return np.concatenate(codes), np.concatenate(of)
 
 
 def counted(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, code) and the count of each, in order of text and code."""
-    order = np.argsort(codes)
-    order = order[np.argsort(of[order], kind="stable")]
-    codes, of = codes[order], of[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
+    key = np.sort((of.astype(np.uint64) << np.uint64(CODE_BITS)) | codes)  # a text and a code in one number
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     start = np.flatnonzero(new)
-    return of[start], codes[start], np.diff(np.append(start, len(codes)))
+    key = key[start]
+    return (key >> np.uint64(CODE_BITS)).astype(np.int64), key & np.uint64((1 << CODE_BITS) - 1), np.diff(np.append(start, len(new)))
 
 
 def learn(df: DataFrame, text: str, label: str, length: int = OF_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """Each label's profile, best first: counts over all rows whose label isn't null. Profiles have a bounded length."""
+    """Each label's profile, best first: counts over all rows whose label isn't null. Profiles have a bounded length, and so has their number: LANGUAGES, those with most n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -124,14 +126,15 @@ def learn(df: DataFrame, text: str, label: str, length: int = OF_LANGUAGE) -> li
                     yield from out()
         yield from out()
 
-    counts = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string"), F.col(text).cast("string")).mapInArrow(run, "label string, code bigint, n bigint")
+    counts = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string"), F.col(text).cast("string")).mapInArrow(lean(run), "label string, code bigint, n bigint")
     total = written(counts.groupBy("label", "code").agg(F.sum("n").alias("n")), "grams")
-    languages = sorted(r[0] for r in total.select("label").distinct().collect())
-    profiles = []
-    for name in languages:
-        best = total.where(F.col("label") == name).orderBy(F.desc("n"), "code").limit(length).select("code").collect()
-        profiles.append((name, np.array([r[0] for r in best], np.uint64)))
-    return profiles
+    most = total.groupBy("label").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "label").limit(LANGUAGES).select("label")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "code"))
+    best = total.join(F.broadcast(most), "label").withColumn("place", place).where(F.col("place") <= length).select("label", "place", "code").collect()
+    profiles: dict[str, list[tuple[int, int]]] = {}
+    for r in best:
+        profiles.setdefault(r.label, []).append((r.place, r.code))
+    return [(name, np.array([code for _, code in sorted(profiles[name])], np.uint64)) for name in sorted(profiles)]
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +149,7 @@ class Profiles:
         self.names = [name for name, _ in profiles]
         self.length = length
         self.codes = np.unique(np.concatenate([c for _, c in profiles] or [np.zeros(0, np.uint64)]))
-        self.ranks = np.full((len(self.codes) + 1, len(profiles)), -1, np.int32)
+        self.ranks = np.full((len(self.codes) + 1, len(profiles)), -1, np.int16)
         for k, (_, code) in enumerate(profiles):
             self.ranks[np.searchsorted(self.codes, code), k] = np.arange(len(code))
 
@@ -159,7 +162,7 @@ class Profiles:
             of, codes, n = counted(*grams(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i]))
             if not len(of):
                 continue
-            order = np.lexsort((codes, -n, of))
+            order = np.argsort((of << 40) | ((1 << 40) - 1 - n), kind="stable")  # equal counts stay in order of codes
             of, codes = of[order], codes[order]
             start = np.searchsorted(of, np.arange(j - i))
             rank = np.arange(len(of)) - start[of]
@@ -168,7 +171,7 @@ class Profiles:
             at = np.searchsorted(self.codes, codes)
             known = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == codes) if len(self.codes) else np.zeros(len(at), bool)
             theirs = self.ranks[np.where(known, at, len(self.codes))]
-            out = np.where(theirs < 0, self.length, np.abs(theirs - rank[:, None]))
+            out = np.where(theirs < 0, self.length, np.abs(theirs - rank[:, None].astype(np.int32)))
             size = np.bincount(of, minlength=j - i)
             far = np.stack([np.bincount(of, out[:, k], j - i) for k in range(len(self.names))], 1)
             least = far.argmin(1)
@@ -190,8 +193,7 @@ def identify(df: DataFrame, profiles: list[tuple[str, np.ndarray]], text: str =
             named, score = sent.value.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(run, schema)
-
+    return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:

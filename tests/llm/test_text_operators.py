@@ -7,6 +7,8 @@ import math
 import random
 import re
 import time
+from collections import Counter
+from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -86,8 +88,6 @@ def test_white_space_scan_is_associative():
 
 
 def slow_profile(text):
-    from collections import Counter
-
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     counts = Counter()
     for w in re.findall(r"[^\W\d_]+", low):
@@ -120,6 +120,38 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.learn(df.where("false"), "text", "lang")).collect()} == {"und"}
 
 
+def test_out_of_place_distances_are_those_of_a_loop(spark):
+    """Profiles, ranks and distances, with ties, repeated rows and clashing columns."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choices("abc d", k=rng.randint(0, 60))), rng.choice(["x", "y", "z", None])) for k in range(60)]
+    rows += [rows[5], rows[5], (None, "abc abd", "x"), (77, None, "x")]
+    df = spark.createDataFrame([(*r, "clash", 2) for r in rows], "doc_id long, text string, lang string, lang_pred string, n int").repartition(3)
+    code = lambda g: int(langid.mix(np.array([reduce(lambda key, c: (key << 21 ^ key >> 43 ^ ord(c)) & (1 << 64) - 1, g, len(g))], np.uint64))[0] >> np.uint64(20))
+    totals = {}
+    for _, text, lang in rows:
+        if lang and text:
+            totals.setdefault(lang, Counter()).update(slow_profile(text))
+    order = lambda counts, n: [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]]
+    own = {lang: order(c, langid.OF_LANGUAGE) for lang, c in totals.items()}
+    learned = langid.learn(df, "text", "lang")
+    assert {name: profile.tolist() for name, profile in learned} == own
+    expected = []
+    for doc, text, _ in rows:
+        profile = order(slow_profile(text or ""), langid.OF_DOCUMENT)
+        far = {lang: sum(abs(p.index(g) - k) if g in p else langid.OF_LANGUAGE for k, g in enumerate(profile)) for lang, p in own.items()}
+        best = min(sorted(far), key=lambda lang: far[lang])
+        expected.append((doc, best, 1 - far[best] / (len(profile) * langid.OF_LANGUAGE)) if profile else (doc, "und", 0.0))
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(df, learned).collect()]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert [(a, b, round(c, 9)) for a, b, c in sorted(got, key=key)] == [(a, b, round(c, 9)) for a, b, c in sorted(expected, key=key)]
+
+
+def test_labels_without_number_are_not_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    df = spark.createDataFrame([(k, "abc " * (9 - k), f"l{k}") for k in range(8)], "doc_id long, text string, lang string")
+    assert [name for name, _ in langid.learn(df, "text", "lang")] == ["l0", "l1"]
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Home</a></ul></nav>
 <div id="cookie-notice">We use cookies</div><div class="wrap"><div class="post-content"><h2>Title &amp; more</h2><p>First  para with <a href=x>link</a> text and enough words to be dense.<p>Second
 para is <b>bold</b>, and long enough to count as text too.<ul><li>one item<li>two item</ul></div><div class="comments"><p>A reader says something long that must not stay in the text.</p></div></div>
