@@ -5,9 +5,10 @@
    many texts of a chunk share is sent once with its count.
 2. Rare first: a set's n-grams are ordered by falling rarity, and two sets that link share one of the first
    n - ceil(0.8 n) + 1. A set whose n-grams found nowhere else fill that prefix links with nothing and is done.
-3. Sets join on prefix n-grams. First each is compared with one leader, the least document of most of its lists; those
+3. Sets join on prefix n-grams. First each is compared with one leader, of most of its lists the set that has least of its own; those
    that link form a cluster with a known distance to the leader. Lists then pair clusters, not documents, after length
-   and positional filters; a suffix filter bounds the overlap by counts of hash ranges; each pair is verified once.
+   and positional filters; a suffix filter bounds what leaders share after their prefixes by counts of hash ranges. What
+   was verified once, as leader and member or in a first try of members, isn't verified again.
    The Jaccard distance is a metric, so leaders that are further apart than 0.2 and their clusters' radii rule out all
    pairs between the clusters; where they don't, and the clusters aren't linked yet, the members are joined themselves.
 4. Components of the links.
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, mix, partitions, spans, table, written
+from cellsift.llm.common import buffers, lean, mix, partitions, spans, table, written
 from cellsift.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -42,6 +43,8 @@ SPAN = 1 << 20
 CHUNK_HASHES, CHUNK_TEXTS, COMMON = 2_000_000, 60_000, 32
 #: Member pairs tried first for two clusters that may touch.
 TRIES = 12
+#: Classes of equal sets with a share of the documents of one over this, which are so many at most.
+HOT = 1000
 #: Hash ranges of the suffix filter.
 RANGES = 16
 ONES, SET_BITS = np.uint64((1 << 16) - 1), np.uint64(16)
@@ -246,7 +249,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(held, SENT[1:])
 
 
-SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, stands boolean, ph array<bigint>, pp array<int>, hs array<bigint>, ranges array<int>"
+SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, stands boolean, ph array<bigint>, pp array<int>, hs array<bigint>, ranges array<int>, after array<int>"
 
 
 def settle(percent: int):
@@ -302,12 +305,13 @@ def settled(blobs: dict[int, list[bytes]], percent: int) -> Iterator[pa.RecordBa
     hd, hh = doc[whole], h[whole]
     by = np.lexsort((hh, hd))
     hd, hh = hd[by], hh[by]
-    ranges = np.zeros((m, RANGES), np.int32)
-    np.add.at(ranges, (hd, (hh >> np.uint64(44)).astype(np.int64)), 1)
+    # Counts by hash range, of all n-grams and of those after the prefix.
+    late = whole & ~first
+    ranges, after = (np.bincount(d * RANGES + (x >> np.uint64(44)).astype(np.int64), minlength=m * RANGES).reshape(m, RANGES).astype(np.int32) for d, x in ((hd, hh), (doc[late], h[late])))
     at = lambda c: np.concatenate([[0], np.cumsum(c)])
     n_pre, n_set = at(np.bincount(doc[first], minlength=m)), at(np.bincount(hd, minlength=m))
     n_range = at(lives * RANGES)
-    flat = ranges[lives].ravel()
+    flat, flat_after = ranges[lives].ravel(), after[lives].ravel()
     for a in range(0, m, 2048):
         b = min(m, a + 2048)
 
@@ -316,8 +320,8 @@ def settled(blobs: dict[int, list[bytes]], percent: int) -> Iterator[pa.RecordBa
             return pa.ListArray.from_buffers(rows.type, len(rows), [pa.array(lives[a:b]).buffers()[1], rows.buffers()[1]], children=[rows.values])
 
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[a:b], mask=~valid[a:b]), pa.array(n[a:b]), pa.array(f1[a:b]), pa.array(f2[a:b]), pa.array(stands[a:b]), some(n_pre, ph, pa.int64()), some(n_pre, pp, pa.int32()), some(n_set, hh.astype(np.int64), pa.int64()), some(n_range, flat, pa.int32())],
-            names=["doc_id", "n", "f1", "f2", "stands", "ph", "pp", "hs", "ranges"],
+            [pa.array(ids[a:b], mask=~valid[a:b]), pa.array(n[a:b]), pa.array(f1[a:b]), pa.array(f2[a:b]), pa.array(stands[a:b]), some(n_pre, ph, pa.int64()), some(n_pre, pp, pa.int32()), some(n_set, hh.astype(np.int64), pa.int64()), some(n_range, flat, pa.int32()), some(n_range, flat_after, pa.int32())],
+            names=["doc_id", "n", "f1", "f2", "stands", "ph", "pp", "hs", "ranges", "after"],
         )
 
 
@@ -326,9 +330,9 @@ def document_sets(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc
     spark = df.sparkSession
     narrow = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = partitions(spark, narrow)
-    sent = narrow.mapInArrow(send(words, parts), "part int, chunk bigint, kind int, blob binary")
-    counted = sent.repartitionById(parts, "part").mapInArrow(count, "chunk bigint, kind int, blob binary")
-    return written(counted.repartition(parts, "chunk").mapInArrow(settle(percent), SETS), "sets")
+    sent = narrow.mapInArrow(lean(send(words, parts)), "part int, chunk bigint, kind int, blob binary")
+    counted = sent.repartitionById(parts, "part").mapInArrow(lean(count), "chunk bigint, kind int, blob binary")
+    return written(counted.repartition(parts, "chunk").mapInArrow(lean(settle(percent)), SETS), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
@@ -387,16 +391,19 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     limit = 1 - percent / 100
 
     live = base.where("hs is not null")
-    stand = live.select("doc_id", "n", "f1", "f2", "ph", "pp").join(classes, ["f1", "f2", "n"]).where("doc_id = rep")
-    posts = written(stand.select(F.col("doc_id").alias("doc"), "n", F.explode(F.arrays_zip("ph", "pp")).alias("p")).select(F.col("p.ph").alias("h"), "doc", "n", F.col("p.pp").alias("pos")), "posts")
+    # By the representative's id too, so that a class of many copies is no key of many rows.
+    alone = ((F.col("n") - F.size("hs")) / F.col("n")).alias("alone")
+    stand = live.select("doc_id", "n", "f1", "f2", "ph", "pp", alone).join(classes.select("f1", "f2", "n", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2", "n"])
+    posts = written(stand.select(F.col("doc_id").alias("doc"), "n", "alone", F.explode(F.arrays_zip("ph", "pp")).alias("p")).select(F.col("p.ph").alias("h"), "doc", "n", "alone", F.col("p.pp").alias("pos")), "posts")
     sets = live.select("doc_id", "n", "hs")
 
-    # Each set and its leader.
-    heads = posts.groupBy("h").agg(F.min(F.struct("doc", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("head.doc").alias("lead"), F.col("head.n").alias("ln"))
+    # Each set and its leader: the set of a list with the least share of n-grams of its own, as an original among edited copies has.
+    heads = posts.groupBy("h").agg(F.min(F.struct("alone", "doc", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("head.doc").alias("lead"), F.col("head.n").alias("ln"))
     tried = posts.join(heads, "h").where(F.col("doc") != F.col("lead")).where(similar_sizes(F.col("n"), F.col("ln"), percent) & similar_sizes(F.col("ln"), F.col("n"), percent))
     best = tried.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("doc").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
-    checked = verified(best.select(F.col("doc").alias("a"), F.col("lead").alias("b")), sets)
-    members = written(checked.where(links(percent)).select(F.col("a").alias("doc"), F.col("b").alias("lead"), distance().alias("d")), "members")
+    checked = written(verified(best.select(F.col("doc").alias("a"), F.col("lead").alias("b")), sets), "checked")
+    members = checked.where(links(percent)).select(F.col("a").alias("doc"), F.col("b").alias("lead"), distance().alias("d"))
+    failed = checked.where(~links(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both").distinct()
 
     # Pairs of clusters that a list brings together.
     placed = posts.join(members, "doc", "left").select("h", "doc", "n", "pos", F.coalesce("lead", "doc").alias("cid"), F.coalesce("d", F.lit(0.0)).alias("d"))
@@ -406,11 +413,17 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     met = met.where(similar_sizes(F.col("mosta"), F.col("leastb"), percent) & similar_sizes(F.col("mostb"), F.col("leasta"), percent))
     met = met.where(F.least("resta", "restb") >= least_overlap(F.col("leasta"), F.col("leastb"), percent))
     pairs = met.groupBy(F.col("cida").alias("a"), F.col("cidb").alias("b")).agg(F.max("ra").alias("ra"), F.max("rb").alias("rb")).withColumn("reach", F.col("ra") + F.col("rb") + limit)
-    info = live.select("doc_id", "n", "ranges")
-    near = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("xa")), "a").join(info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("xb")), "b")
-    bound = F.aggregate(F.zip_with("xa", "xb", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
-    near = near.where(bound + 1e-6 >= (1 - F.col("reach")) / (2 - F.col("reach")) * (F.col("na") + F.col("nb")))
-    judged = written(verified(near.select("a", "b", "ra", "rb", "reach"), sets, "ra", "rb", "reach").select("a", "b", "ra", "rb", "reach", links(percent).alias("link"), distance().alias("d")), "judged")
+    info = live.select("doc_id", "n", F.size("ph").alias("p"), "ranges", "after")
+    side = lambda x: info.select(F.col("doc_id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "p", "ranges", "after")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    # The set whose prefix ends first shares no more of it than either prefix holds, and of the rest what the ranges allow.
+    suffix = F.least("pa", "pb") + F.greatest(common("aftera", "rangesb"), common("rangesa", "afterb"))
+    bound = F.least(common("rangesa", "rangesb"), suffix)
+    near = near.where(bound + 1e-6 >= (1 - F.col("reach")) / (2 - F.col("reach")) * (F.col("na") + F.col("nb"))).select("a", "b", "ra", "rb", "reach", "na", "nb")
+    near = near.join(failed, ["a", "b"], "left")
+    fresh = verified(near.where("both is null").select("a", "b", "ra", "rb", "reach"), sets, "ra", "rb", "reach")
+    judged = written(near.where("both is not null").unionByName(fresh).select("a", "b", "ra", "rb", "reach", links(percent).alias("link"), distance().alias("d")), "judged")
 
     found = members.select(F.col("doc").alias("a"), F.col("lead").alias("b")).union(judged.where("link").select("a", "b"))
     comps = written(components(found), "components")
@@ -419,6 +432,7 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     open_ = judged.where(~F.col("link") & (F.col("reach") > limit) & (F.col("d") <= F.col("reach") + 1e-9))
     swap = F.col("ra") < F.col("rb")  # the wider cluster as a
     open_ = open_.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.col("d").alias("apart"))
+    before = None
     for every in (False, True):
         open_ = written(apart(open_, comps), "open")
         if open_.isEmpty():
@@ -428,12 +442,21 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
         if not every:
             most = Window.partitionBy("a", "b").orderBy(F.desc("c"), "x", "y")
             tried = tried.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(most)).where(F.col("k") <= TRIES)
-        tried = tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        more = verified(tried, sets).where(links(percent)).select("a", "b")
+        tried = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        tried = before = written(tried if before is None else tried.join(before, ["a", "b"], "left_anti"), "tried")
+        more = written(verified(tried, sets).where(links(percent)).select("a", "b"), "more")
+        if more.isEmpty():
+            continue
         comps = written(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
-    named = classes.select("f1", "f2", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component"))
-    return ids.join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component"), "copies")
+    # At most HOT classes hold so large a share of the documents; no task gets one of them as a key.
+    key = ["f1", "f2", "n"]
+    large = F.col("copies") * HOT >= base.count()
+    hot = F.broadcast(named.where(large).drop("copies"))
+    rest = ids.join(F.broadcast(named.where(large).select(key)), key, "left_anti").join(named.where(~large).drop("copies"), key, "left")
+    all_ = ids.join(hot, key).unionByName(rest)
+    return all_.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
