@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsift.llm.common import buffers, spans, table
+from cellsift.llm.common import buffers, lean, spans, table
 
 # The white space of Unicode (White_Space).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -332,7 +332,7 @@ def _with(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, str]],
                 made = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *(name for name, _, _ in fields)])
 
-    return df.select(*(df[f"`{c}`"] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -353,7 +353,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
             made = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*keep, "decoded"])
 
-    return df.select(*(df[f"`{c}`"] for c in keep), df[ids].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in keep), df[ids].alias("__ids")).mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -29,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where neither the session nor its configuration has one, a local folder is set."""
+    """The session's checkpoint folder. Only where all runs on one machine and neither the session nor its configuration has one, a local folder is set."""
     sc = spark.sparkContext
     if (there := sc._jsc.sc().getCheckpointDir()).isDefined():
         return there.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellsift-checkpoints-"))
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="cellsift-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,6 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """run, a function for mapInArrow, that gives what its batches took back to the machine when a task ends: workers live on, one beside the other."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def partitions(spark: SparkSession, *dfs: DataFrame) -> int:
     """Partitions for an exchange of whole texts' features: as many as the session shuffles to, or as the inputs have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), *(df.rdd.getNumPartitions() for df in dfs), 1)
@@ -100,4 +120,4 @@ def filtered(df: DataFrame, columns: dict[str, str], decide) -> DataFrame:
                 kept = pa.array(np.asarray(decide(*part.columns[n:]), bool))
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in part.columns[:n]], names=schema.names)
 
-    return df.select("*", *asked).mapInArrow(run, schema)
+    return df.select("*", *asked).mapInArrow(lean(run), schema)

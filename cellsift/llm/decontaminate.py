@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, mix, spans, table, written
+from cellsift.llm.common import buffers, lean, mix, spans, table, written
 from cellsift.llm.langid import letters
 from cellsift.llm.quality import DIGIT, LOWER, SPACE, UPPER, kinds
 
@@ -172,7 +172,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
     schema = "h bigint, item_id bigint, at bigint, length int, begin bigint, upto bigint, size bigint, plain boolean, item_types array<int>, item_values array<bigint>"
     narrow = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    return written(narrow.mapInArrow(run, schema), "items")
+    return written(narrow.mapInArrow(lean(run), schema), "items")
 
 
 class Bitmap:
@@ -202,7 +202,7 @@ def bitmap(items: DataFrame) -> Bitmap:
 
     merged = Bitmap(0)
     merged.width, merged.bits = out.width, out.bits.copy()
-    for p in items.select("h").coalesce(2).mapInArrow(run, "bits binary").toLocalIterator():
+    for p in items.select("h").coalesce(2).mapInArrow(lean(run), "bits binary").toLocalIterator():
         merged.bits |= np.frombuffer(p.bits, np.uint8)
     return merged
 
@@ -231,7 +231,7 @@ def document_windows(documents: DataFrame, lengths: list[tuple[int, bool]], bits
                     yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[i:j][of[first]]), pa.array(first - start), *same, pa.array(types, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names=["h", "doc_id", "place", "length", "plain", "types", "values"])
 
     narrow = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return narrow.mapInArrow(run, "h bigint, doc_id bigint, place bigint, length int, plain boolean, types array<int>, values array<bigint>")
+    return narrow.mapInArrow(lean(run), "h bigint, doc_id bigint, place bigint, length int, plain boolean, types array<int>, values array<bigint>")
 
 
 def covered(ranges):

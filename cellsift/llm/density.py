@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsift.llm.common import table
+from cellsift.llm.common import lean, table
 from cellsift.llm.markup import CLOSE, INNER, TEXT as WORDS, attributes, scan
 
 SPACE = re.compile(r"\s+")
@@ -379,7 +379,7 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
                 texts = [main_text(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[page_id, url, "text", "n_chars"])
 
-    return df.select(page_id, url, df[page].cast("string").alias("__html")).mapInArrow(run, schema)
+    return df.select(page_id, url, df[page].cast("string").alias("__html")).mapInArrow(lean(run), schema)
 
 
 def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

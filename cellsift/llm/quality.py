@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, filtered, mix, spans, table
+from cellsift.llm.common import buffers, filtered, lean, mix, spans, table
 from cellsift.llm.sample import fold, labelled
 
 SHAPES, WORDS, STATED, LENGTHS = 256, 128, 64, 24
@@ -244,7 +244,7 @@ def viewed(df: DataFrame) -> list:
             content, meta = features(b.column(2), *(b.column(k).to_pylist() for k in (3, 4, 5)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *(pa.array([x.astype(np.float16).tobytes() for x in part], pa.binary()) for part in (content, meta))], names=["doc_id", "label", "content", "meta"])
 
-    return seen(df.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", "label").mapInArrow(run, "doc_id bigint, label int, content binary, meta binary").collect()
+    return seen(df.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", "label").mapInArrow(lean(run), "doc_id bigint, label int, content binary, meta binary").collect()
 
 
 def matrix(rows: list, name: str, width: int) -> np.ndarray:
@@ -280,9 +280,9 @@ def lessons(documents: DataFrame, model: CoTrained) -> list[list[list[Moments]]]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["part", "kind", "moments"])
 
     schema = "part int, kind int, moments binary"
-    some = seen(documents).mapInArrow(run, schema).repartition(SUMS, "part").mapInArrow(add, schema)
+    some = seen(documents).mapInArrow(lean(run), schema).repartition(SUMS, "part").mapInArrow(lean(add), schema)
     out: list[list[list[Moments]]] = [[[], []], [[], []]]
-    for r in some.withColumn("part", F.lit(0)).coalesce(1).mapInArrow(add, schema).collect():
+    for r in some.withColumn("part", F.lit(0)).coalesce(1).mapInArrow(lean(add), schema).collect():
         m = Moments(WIDTH[r.kind // 2])
         m.m = np.frombuffer(r.moments, np.float64).reshape(m.m.shape)
         out[r.kind // 2][r.kind % 2].append(m)
@@ -308,7 +308,7 @@ def score(documents: DataFrame, model: CoTrained) -> DataFrame:
                 s, c, m = sent.value.score(*features(b.column(1), *(b.column(x).to_pylist() for x in (2, 3, 4))))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(c, pa.float64()), pa.array(m, pa.float64())], names=["doc_id", "score", "predicted", "content_score", "meta_score"])
 
-    return seen(documents, "doc_id").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double, predicted int, content_score double, meta_score double")
+    return seen(documents, "doc_id").mapInArrow(lean(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double, predicted int, content_score double, meta_score double")
 
 
 def accepted(documents: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, filtered, mix, spans, table
+from cellsift.llm.common import buffers, filtered, lean, mix, spans, table
 from cellsift.llm.langid import letters
 from cellsift.llm.sample import fold, labelled
 
@@ -43,7 +43,7 @@ KEPT, SUPPORT = 0.2, 4
 STEPS, FIRST_RATE, DECAY, GRAM_WEIGHT = 120, 0.4, 1e-5, 4.0
 #: Of the network: rounds of choosing windows, windows of a step, least steps of a round, rates, share of words left out, windows of a clean document: the most toxic ones and others.
 ROUNDS, BATCH, LEAST_STEPS, RATE, TABLE_RATE, LEFT_OUT, WORST, OTHERS = 2, 128, 60, 0.05, 0.02, 0.1, 2, 2
-SPAN, AT_ONCE = 1 << 19, 1024
+SPAN, AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1024, 1 << 14
 
 
 class Words:
@@ -302,7 +302,7 @@ class Training:
         own = np.unique(self.word)
         row, gram, start = l.of(own)
         count = l.count[own]
-        of_word, at = np.repeat(np.arange(len(own)), count), np.searchsorted(own, self.word)
+        of_word, at = np.repeat(np.arange(len(own), dtype=np.int32), count), np.searchsorted(own, self.word)
         docs, doc = np.unique(self.of_doc, return_inverse=True)
         begin, size = np.searchsorted(doc, np.arange(len(docs))), np.bincount(doc)
         y = l.label[docs]
@@ -356,7 +356,9 @@ class Training:
             net.p[name][rows] -= TABLE_RATE * total / np.sqrt(self.acc[name][rows] + 1e-4)
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        return self.net.window_logits(self.net.projected(self.net.inputs(self.l.row, self.l.gram, self.l.start)), self.l.index[windows])
+        l = self.l  # noqa: E741
+        parts = [self.net.inputs(*l.of(np.arange(a, min(a + WORDS_AT_ONCE, len(l.row))))) for a in range(0, len(l.row), WORDS_AT_ONCE)]
+        return self.net.window_logits(self.net.projected(np.concatenate(parts or [np.zeros((0, INPUT), np.float32)])), l.index[windows])
 
     def run(self) -> Network:
         l = self.l  # noqa: E741
@@ -375,9 +377,8 @@ class Training:
         return self.net
 
 
-def fitted(rows: list[tuple], share: tuple[float, float]) -> Network:
+def fitted(lessons: Lessons, share: tuple[float, float]) -> Network:
     """A network from packed documents. share: how many labelled documents there are for each one of the sample, by class."""
-    lessons = Lessons(rows)
     held = lessons.held.copy()
     for k in (0, 1):  # both parts need both classes; one document alone serves for both
         own = np.flatnonzero(lessons.label == k)
@@ -423,12 +424,11 @@ def train(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = P
     share = tuple(taken[k][1] / taken[k][0] for k in (0, 1))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([fitted(held, share).packed()], pa.binary())], names=["network"])
+        lessons = Lessons([r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([fitted(lessons, share).packed()], pa.binary())], names=["network"])
 
-    windows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text").mapInArrow(pack, "doc_id bigint, label int, codes binary, counts binary, grams binary, windows binary")
-    return Network.unpacked(windows.repartition(1).mapInArrow(fit, "network binary").first().network)  # a bounded sample: one task
+    windows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text").mapInArrow(lean(pack), "doc_id bigint, label int, codes binary, counts binary, grams binary, windows binary")
+    return Network.unpacked(windows.repartition(1).mapInArrow(lean(fit), "network binary").first().network)  # a bounded sample: one task
 
 
 def score(documents: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -443,7 +443,7 @@ def score(documents: DataFrame, net: Network, text: str = "text", keep: tuple[st
                 s = sent.value.score(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return documents.select(*(documents[c] for c in keep), documents[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*(documents[c] for c in keep), documents[text].cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def accepted(documents: DataFrame, net: Network, below: float = 0.5) -> DataFrame:

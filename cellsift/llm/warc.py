@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import table
+from cellsift.llm.common import lean, table
 from cellsift.llm.markup import INNER, OPEN, TEXT, attributes, scan
 
 DATE = "1970-01-01T00:00:00Z"
@@ -131,7 +131,7 @@ def derivatives(responses: DataFrame, key: str = "key") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", "source_block_digest", "source_headers", "header", "block"])
 
     text = [F.col(c).cast("string") for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")]
-    return responses.select(F.col(key).alias("key"), *text).mapInArrow(run, schema)
+    return responses.select(F.col(key).alias("key"), *text).mapInArrow(lean(run), schema)
 
 
 def responses_of(pages: DataFrame, date: str = DATE, http: str = HTTP) -> DataFrame:
