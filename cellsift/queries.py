@@ -355,6 +355,17 @@ def delta_violations(spark, sf_dir):
     return pairs.violations(df, [NATION], CUSTOMER_KINDS, base_rows(df))
 
 
+TOUCHED = f"{ORDERS_PAIRS} AND a.o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey >= {CUT.format(t='orders')})"
+
+
+@query(errors_sql(TOUCHED, ["o_custkey", "o_orderpriority"], ORDER_TAUS))
+def delta_error_cells(spark, sf_dir):
+    """The delta alone: error cells of the groups that it touches."""
+    df = orders(spark, sf_dir)
+    n = base_rows(df)
+    return detection.detect_delta(df.where(F.col(IDX) < n), df.where(F.col(IDX) >= n), [PRIORITY], ORDER_TAUS, ORDER_KINDS, made_up(df, ["o_custkey", "o_orderpriority"]), n)
+
+
 @query(ORDER_ERRORS_SQL)
 def incremental_error_cells(spark, sf_dir):
     """Base and delta one after the other; the SQL looks at the whole table."""
