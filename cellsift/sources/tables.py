@@ -33,6 +33,8 @@ def with_index(df: DataFrame, by: str | None = None, start: int = 0) -> DataFram
         return df.withColumn(IDX, F.col(by).cast("bigint") + start)
     # Ids that Spark gives are a partition's number and the place within it; what other partitions hold before makes them dense.
     spread = df.withColumn(IDX, F.monotonically_increasing_id())
+    if "AdaptiveSparkPlan" in (plan := spread._jdf.queryExecution().executedPlan().toString()) or "Exchange" in plan:
+        spread = spread.persist()  # both jobs must see the same partitions, which a scan of files gives by itself
     part, place = F.shiftright(IDX, 33), F.col(IDX).bitwiseAND((1 << 33) - 1)
     counts = {r.part: r.n for r in spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
     first = dict(zip(sorted(counts), [start, *accumulate(counts[k] for k in sorted(counts))], strict=False)) if counts else {}

@@ -121,6 +121,8 @@ def test_index_is_dense_in_order_and_without_python(spark, tmp_path):
     assert [(r.v, r[IDX]) for r in got.collect()] == [(r.v, k + 5) for k, r in enumerate(df.collect())]
     assert "Python" not in got._jdf.queryExecution().toString()
     assert with_index(df.where("false")).count() == 0
+    mixed = with_index(spark.range(500).withColumn("k", F.col("id") % 7).repartition(5, "k").groupBy("id").agg(F.max("k").alias("k")))
+    assert sorted(r[IDX] for r in mixed.where("k > 2 or k < 2").collect()) == sorted(r[IDX] for r in mixed.collect() if r.k != 2) and sorted(r[IDX] for r in mixed.collect()) == list(range(500))
 
 
 def test_stream_of_deltas_adds_up_to_the_whole(spark, tmp_path):
