@@ -57,7 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that `written` gave, once nothing reads it any more. Other tables stay."""
+    if path := getattr(df, "scratch", None):
+        _remove(df.sparkSession, path)
 
 
 def lean(run):

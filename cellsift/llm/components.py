@@ -1,11 +1,11 @@
-"""Connected components of a table of links, by large-star and small-star rounds. Each round is a written table; only counts reach the driver."""
+"""Connected components of a table of links, by large-star and small-star rounds. Each round is a written table, which the next one replaces; only counts reach the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import written
+from cellsift.llm.common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # To the least smaller neighbour of u: u and its other smaller neighbours.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u != v").distinct(), "stars")
+        last, edges = edges, written(small.where("u != v").distinct(), "stars")
+        discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
