@@ -14,7 +14,7 @@ from tests.test_detection import DDS, KINDS, frame, table
 
 DATA = Path("/root/testdata/sf0.001")
 #: Queries whose frequent keys were one task's work.
-DEALT = ["violations_nulls", "violations_fd", "clusters_refined", "delta_violations", "violations_fuzzy", "delta_clusters", "delta_violations_several", "hyper_edges"]
+DEALT = ["violations_nulls", "violations_fd", "clusters_refined", "delta_violations", "violations_fuzzy", "delta_clusters", "delta_violations_several", "hyper_edges", "violations_no_le"]
 
 
 def alike(spark, size):
