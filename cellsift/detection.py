@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def detect(df: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kind
     """idx, attr: the error cells of df.
 
     wide: probabilities by _idx, scored from df if not given. strategy `auto` evaluates equality dependencies by groups and
-    the rest by pairs; `pairs` builds pairs for all.
+    the rest by pairs; `pairs` pairs up all. What is paired are classes of rows with equal keys.
     """
     validate(dds, kinds, df.columns, taus)
     wide = probabilities_for(df, dds) if wide is None else wide
@@ -33,11 +34,10 @@ def detect(df: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kind
     parts = []
     if by_group:
         parts.append(grouped.error_cells(df, by_group, kinds, wide, taus))
-    if by_pair:
-        parts.append(selection.select_errors(pairs.violations(df, by_pair, kinds), by_pair, wide, taus, fallback))
+    parts += [selection.class_errors(df, d, kinds, wide, taus, fallback) for d in by_pair]
     if not parts:
         raise ValueError("no dependency")
-    return parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).distinct()
 
 
 def detect_delta(base: DataFrame, delta: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kinds: Mapping[str, str], wide: DataFrame, n_old: int, fallback: str = "first") -> DataFrame:

@@ -3,8 +3,8 @@
 Rows are grouped by their left keys g. r is the right key, or something of the row's own where the right value can't be
 matched (it differs from all). For a right atom `<=` a row is involved if its group has another r; for `>`, if its group
 has another row of the same r. Low cells of involved rows are errors. A row's least cell (p, place, idx) is an error if
-some partner, neither of whose first cells is low, has a greater one; the largest least cell of each (g, r) and the two
-largest over a group decide that.
+some partner has a greater one and neither has a low first cell (fallback `edge`: a low cell at all); the largest least cell
+of each (g, r) and the two largest over a group decide that.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsift.functions.values import key, matchable
+from cellsift.operators.selection import chosen, own_cells
 from cellsift.plans.constraints import Dependency
 from cellsift.plans.strategy import groups_suffice
 from cellsift.sources.tables import IDX
@@ -44,23 +45,11 @@ def pair_counts(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str])
     return reduce(DataFrame.unionByName, parts)
 
 
-def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None) -> DataFrame:
-    names = [n for n in dd.attrs if n in wide.columns]
-    p = {n: F.when(~F.isnan(F.col(f"p_{n}")), F.col(f"p_{n}")) for n in names}
-    scores = wide.select(F.col(IDX).alias("idx"), *(F.col(f"`{n}`").cast("double").alias(f"p_{n}") for n in names))
+def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None, fallback: str = "first") -> DataFrame:
     rows = grouped_rows(df, dd, kinds)
     if touched is not None:
         rows = rows.join(grouped_rows(touched, dd, kinds).select("g").distinct(), "g", "left_semi").select("idx", "g", "r")
-    rows = rows.join(scores, "idx", "left")  # a row without probabilities is a partner like any other
-    cells = F.array(*(F.struct(p[n].alias("p"), F.lit(k).alias("pos"), F.col("idx").alias("idx"), F.lit(n).alias("attr")) for k, n in enumerate(dd.attrs) if n in p))
-    known = F.filter(cells, lambda c: c["p"].isNotNull())
-    low = F.filter(known, lambda c: reduce(lambda a, b: a | b, ((c["attr"] == n) & (c["p"] < float(taus[n])) for n in names)))
-    lead = dd.attrs[0]
-    first_low = F.coalesce(p[lead] < float(taus[lead]), F.lit(False)) if lead in p else F.lit(False)
-    rows = rows.select("idx", "g", "r", F.array_min(known).alias("least"), F.transform(low, lambda c: c["attr"]).alias("low"), first_low.alias("first_low"))
-    # A row without any known cell is a partner with a greater least cell than all.
-    top = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("cell"))
-    rows = rows.withColumn("top", F.when(~F.col("first_low"), top))
+    rows = own_cells(rows, dd, wide, taus, fallback)
     lone = F.when(F.col("r").isNull(), F.col("idx")).otherwise(F.lit(-1))  # a class of its own
     rows = rows.withColumn("own", lone)
     per = rows.groupBy("g", "r", "own").agg(F.max("top").alias("best"), F.count(F.lit(1)).alias("n"))
@@ -75,15 +64,12 @@ def _errors(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], wide: DataF
     else:
         involved = per.where("own = -1 and n > 1").select("g", "r", "own", F.col("best").alias("rival"))
     found = rows.join(involved, (rows["g"] == involved["g"]) & rows["r"].eqNullSafe(involved["r"]) & (rows["own"] == involved["own"])).select("idx", "least", "low", "top", "rival")
-    low = found.select("idx", F.explode("low").alias("attr"))
-    mine = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("cell"))
-    least = found.where(F.col("least").isNotNull() & F.col("top").isNotNull() & (mine < F.col("rival"))).select("idx", F.col("least.attr").alias("attr"))
-    return low.union(least)
+    return chosen(found)
 
 
-def error_cells(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None) -> DataFrame:
-    """idx, attr of all dependencies, as select_errors gives them with fallback `first`. touched: rows of df; only their groups are looked at."""
-    return reduce(DataFrame.union, (_errors(df, d, kinds, wide, taus, touched) for d in dds)).distinct()
+def error_cells(df: DataFrame, dds: list[Dependency], kinds: Mapping[str, str], wide: DataFrame, taus: Mapping[str, float], touched: DataFrame | None = None, fallback: str = "first") -> DataFrame:
+    """idx, attr of all dependencies, as select_errors gives them. touched: rows of df; only their groups are looked at."""
+    return reduce(DataFrame.union, (_errors(df, d, kinds, wide, taus, touched, fallback) for d in dds)).distinct()
 
 
 __all__ = ["error_cells", "grouped_rows", "pair_counts"]

@@ -5,23 +5,51 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cellsift import queries
-from cellsift.operators import pairs
-from cellsift.plans.constraints import equal
+from cellsift import detection, queries
+from cellsift.operators import pairs, selection
+from cellsift.plans.constraints import STRING, equal
 from cellsift.sources.tables import IDX
 from tests import plain
-from tests.test_detection import DDS, KINDS, frame, table
+from tests.test_detection import DDS, KINDS, TAUS, chances, frame, table
 
+MANY = 400_000
 DATA = Path("/root/testdata/sf0.001")
 #: Queries whose frequent keys were one task's work.
 DEALT = ["violations_nulls", "violations_fd", "clusters_refined", "delta_violations", "violations_fuzzy", "delta_clusters", "delta_violations_several", "hyper_edges", "violations_no_le"]
 
 
-def alike(spark, size):
+def alike(spark, size=MANY):
     """Two groups of two classes; all pairs of them are tens of thousands of millions."""
     return spark.range(size).select(F.col("id").alias(IDX), F.concat(F.lit("g"), F.col("id") % 2).alias("a"), F.concat(F.lit("v"), F.floor(F.col("id") / 2) % 2).alias("b"), F.lit(0).cast("long").alias("n"))
 
 
+def made_up(df):
+    """Row 0 alone is low in `b`, none in `a`; the greatest is the last."""
+    return df.select(IDX, F.lit(0.9).alias("a"), (F.when(F.col(IDX) == 0, 0.01).otherwise(0.3) + F.col(IDX) / 1e8).alias("b"))
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+@pytest.mark.parametrize("n_old", [None, 20])
+def test_classes_give_the_errors_of_pairs(spark, seed, n_old):
+    rows = table(seed, 26)
+    df = frame(spark, rows)
+    p, wide = chances(spark, seed, rows)
+    expected = plain.violations(rows, DDS, KINDS, n_old)
+    for fallback in ("first", "edge"):
+        for k, d in enumerate(DDS):
+            found = {(0, i, j) for x, i, j in expected if x == k}
+            got = selection.class_errors(df, d, KINDS, wide, TAUS, fallback, n_old)
+            assert {tuple(r) for r in got.collect()} == plain.errors(found, [d], p, TAUS, fallback), (d, fallback)
+
+
+@pytest.mark.parametrize(("fallback", "strategy"), [("first", "pairs")], ids=["f8"])
+def test_errors_of_like_rows_need_no_pairs(spark, fallback, strategy):
+    df = alike(spark)
+    found = detection.detect(df, [equal("a", "b")], TAUS | {"b": 0.02}, {"a": STRING, "b": STRING}, made_up(df), fallback=fallback, strategy=strategy)
+    missed = df.join(found.withColumnRenamed("idx", IDX), IDX, "left_anti")
+    assert found.where("attr = 'b'").count() == found.count() and {r[IDX] for r in missed.collect()} <= set(range(MANY - 4, MANY))
+
+
 @pytest.mark.parametrize("size", [1, 3])
 def test_large_blocks_are_spelt_out_whole(spark, monkeypatch, size):
     monkeypatch.setattr(pairs, "SPAN", 16)
