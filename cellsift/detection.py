@@ -57,7 +57,7 @@ def detect_delta(base: DataFrame, delta: DataFrame, dds: list[Dependency], taus:
         if fallback == "first" and groups_suffice(d):
             parts.append(grouped.error_cells(both, [d], kinds, wide, taus, delta))
         else:
-            parts.append(selection.select_errors(pairs.violations(both, [d], kinds, n_old), [d], wide, taus, fallback))
+            parts.append(selection.class_errors(both, d, kinds, wide, taus, fallback, n_old))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
