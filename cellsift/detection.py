@@ -29,11 +29,11 @@ def detect(df: DataFrame, dds: list[Dependency], taus: Mapping[str, float], kind
     """
     validate(dds, kinds, df.columns, taus)
     wide = probabilities_for(df, dds) if wide is None else wide
-    by_group = [d for d in dds if strategy == "auto" and fallback == "first" and groups_suffice(d)]
+    by_group = [d for d in dds if strategy == "auto" and groups_suffice(d)]
     by_pair = [d for d in dds if d not in by_group]
     parts = []
     if by_group:
-        parts.append(grouped.error_cells(df, by_group, kinds, wide, taus))
+        parts.append(grouped.error_cells(df, by_group, kinds, wide, taus, fallback=fallback))
     parts += [selection.class_errors(df, d, kinds, wide, taus, fallback) for d in by_pair]
     if not parts:
         raise ValueError("no dependency")
