@@ -86,18 +86,20 @@ def report(df: DataFrame, clean: DataFrame, dds: list[Dependency], taus: Mapping
     """One row: scores, seconds of the value distances, clusters, violating pairs and error cells and their sum, and coverage.
 
     Scoring and the comparison with the clean copy aren't timed. Distances and clusters are only measured here: finding pairs
-    doesn't need them.
+    doesn't need them. Clusters and violating pairs are found folded, blocks of like rows for all pairs between them; pairs are
+    spelt out only between rows without an error, which are those that coverage asks for.
     """
     spark = df.sparkSession
     wide = probabilities_for(df, dds) if wide is None else wide
     near = {a: max(t) for a, t in threshold_index(dds).items()}
     tables = [distances.neighbours(df.where(matchable(df, a)).select(key(F.col(f"`{a}`"), kinds[a]).alias("k")).distinct(), kinds[a], t) for a, t in near.items()]
     held = [timed(t) for t in tables]
-    clusters = timed(pairs.clusters(df, dds, kinds))
-    found = timed(pairs.violations(df, dds, kinds).select("i", "j").distinct())
+    clusters = timed(pairs.folded_clusters(df, dds, kinds))
+    found = timed(pairs.folded_violations(df, dds, kinds))
     errors = timed(detect(df, dds, taus, kinds, wide))
     row = evaluation.scores(errors[0], evaluation.difference(df, clean)).first()
-    message = evaluation.coverage_message(evaluation.uncovered(found[0], errors[0]))
+    unflagged = df.join(errors[0].select(F.col("idx").alias(IDX)).distinct(), IDX, "left_anti")
+    message = evaluation.coverage_message(pairs.violations(unflagged, dds, kinds).select("i", "j").distinct())
     seconds = [sum(s for _, s in held), clusters[1], found[1], errors[1]]
     for t, _ in [*held, clusters, found, errors]:
         t.unpersist()
