@@ -115,6 +115,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows whose features a worker holds at once: an executor has a few hundred MB for all its workers.
+ROWS = 256
+
+
 def filtered(df: DataFrame, columns: dict[str, str], decide) -> DataFrame:
     """The rows of df for which decide, given batches of some columns (cast to the named types), says so. One pass, no join."""
     n = len(df.columns)
@@ -123,8 +127,8 @@ def filtered(df: DataFrame, columns: dict[str, str], decide) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                part = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, ROWS):
+                part = whole.slice(k, ROWS)
                 kept = pa.array(np.asarray(decide(*part.columns[n:]), bool))
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in part.columns[:n]], names=schema.names)
 

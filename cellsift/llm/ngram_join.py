@@ -38,9 +38,9 @@ from cellsift.llm.common import buffers, lean, mix, partitions, spans, table, wr
 from cellsift.llm.components import components
 
 WORDS, PERCENT = 5, 80
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Hashes and texts of a chunk at most (but for its last text), and texts of a chunk from which on an n-gram is sent once.
-CHUNK_HASHES, CHUNK_TEXTS, COMMON = 2_000_000, 60_000, 32
+CHUNK_HASHES, CHUNK_TEXTS, COMMON = 1_000_000, 60_000, 32
 #: Member pairs tried first for two clusters that may touch.
 TRIES = 12
 #: Classes of equal sets with a share of the documents of one over this, which are so many at most.

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, filtered, lean, mix, spans, table
+from cellsift.llm.common import ROWS, buffers, filtered, lean, mix, spans, table
 from cellsift.llm.sample import fold, labelled
 
 SHAPES, WORDS, STATED, LENGTHS = 256, 128, 64, 24
@@ -258,8 +258,8 @@ def lessons(documents: DataFrame, model: CoTrained) -> list[list[list[Moments]]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [[Moments(w) for _ in (0, 1)] for w in WIDTH]
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
                 both = features(b.column(0), *(b.column(c).to_pylist() for c in (1, 2, 3)))
                 for v, by_class in enumerate(sent.value.handed(*both)):
                     for k_, rows in enumerate(by_class):
@@ -303,8 +303,8 @@ def score(documents: DataFrame, model: CoTrained) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
                 s, c, m = sent.value.score(*features(b.column(1), *(b.column(x).to_pylist() for x in (2, 3, 4))))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(c, pa.float64()), pa.array(m, pa.float64())], names=["doc_id", "score", "predicted", "content_score", "meta_score"])
 

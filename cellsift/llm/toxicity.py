@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm.common import buffers, filtered, lean, mix, spans, table
+from cellsift.llm.common import ROWS, buffers, filtered, lean, mix, spans, table
 from cellsift.llm.langid import letters
 from cellsift.llm.sample import fold, labelled
 
@@ -438,8 +438,8 @@ def score(documents: DataFrame, net: Network, text: str = "text", keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                part = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, ROWS):
+                part = whole.slice(k, ROWS)
                 s = sent.value.score(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
