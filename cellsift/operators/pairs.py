@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from cellsift.functions.values import close, distance, key, matchable
 from cellsift.operators.distances import neighbours
 from cellsift.plans.constraints import Atom, Dependency, threshold_index
-from cellsift.plans.strategy import EMPTY, EQUALITY, FUZZY, choose
+from cellsift.plans.strategy import EMPTY, EQUALITY, FUZZY, choose, tasks
 from cellsift.sources.tables import IDX
 
 #: Rows whose _idx falls into one span may share a block, of at most SIZE rows; two blocks of LARGE rows or more are dealt out.
-# A task holds the pairs of two blocks at once, so SIZE bounds its memory; 256 was also faster than 1024.
-SPAN, SIZE, LARGE = 1 << 20, 256, 16
+# A task holds the pairs of two blocks at once, so SIZE bounds its memory; 256 was also faster than 1024. LARGE is low, as a delta has
+# few rows of each key; at 16, those with all of their base's rows were one task's work.
+SPAN, SIZE, LARGE = 1 << 20, 256, 4
 
 
 def keyed(df: DataFrame, atoms: Iterable[Atom], kinds: Mapping[str, str]) -> DataFrame:
@@ -96,11 +97,9 @@ def in_violation(rows: DataFrame, dd: Dependency, kinds: Mapping[str, str]) -> D
 
 def spelt_out(rows: DataFrame, meet: Callable[[DataFrame], DataFrame], *kept: str) -> DataFrame:
     """The columns kept, i and j: all pairs of rows that meet, a function of blocks, pairs up."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     columns = [*kept, "lid", "rid", "lids", "rids"]
     small = meet(rows).where(F.least(F.size("lids"), F.size("rids")) < LARGE).select(*columns)
-    large = meet(rows.where(F.size("ids") >= LARGE)).select(*columns).repartition(tasks, "lid", "rid")
+    large = meet(rows.where(F.size("ids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession), "lid", "rid")
 
     def pairs(met: DataFrame) -> DataFrame:
         one = met.select(*kept, (F.col("lid") == F.col("rid")).alias("itself"), F.explode("lids").alias("a"), "rids")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import SparkSession
+
 from cellsift.plans.constraints import Atom, Dependency
 
 #: Nothing can be within a negative distance; an equi-join; a join by neighbouring values; every pair.
@@ -25,3 +27,8 @@ def choose(left: Iterable[Atom]) -> tuple[str, Atom | None]:
 def groups_suffice(dd: Dependency) -> bool:
     """Whether the dependency can be evaluated by group aggregates, without any pair."""
     return bool(dd.left) and all(a.near and a.equality for a in dd.left) and dd.right.equality
+
+
+def tasks(spark: SparkSession) -> int:
+    """Among how many tasks work is dealt whose input is small and whose output isn't."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

@@ -108,3 +108,11 @@ def test_pairs_of_a_frequent_key_are_dealt_to_tasks_f1(spark):
 @pytest.mark.parametrize("name", DEALT)
 def test_queries_deal_frequent_keys(spark, name):
     assert dealt(queries.QUERIES[name](spark, str(DATA)))
+
+
+def test_few_new_rows_a_key_are_dealt_with_their_base_f10_f11(spark):
+    """50 keys of 48 rows in the base and 12 in the delta."""
+    df = spark.range(3000).select(F.col("id").alias(IDX), F.concat(F.lit("k"), F.col("id") % 50).alias("a"), F.lit(0).alias("n"))
+    found = pairs.clusters(df, [equal([], "a")], {"a": STRING}, 2400).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    total = sum(r["count"] for r in found)
+    assert total == 50 * (12 * 48 + 12 * 11 // 2) and max(r["count"] for r in found) < total // 2
