@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.values import distance, key, strip
 from cellsift.plans.constraints import INT, STRING
+from cellsift.plans.strategy import tasks
 
 
 def distinct_values(df: DataFrame, attr: str) -> DataFrame:
@@ -74,6 +75,8 @@ def neighbours(keys: DataFrame, kind: str, threshold: float) -> DataFrame:
         d = F.abs(F.col("a") - F.col("b"))
         return met.select(F.col("a").alias("k1"), F.col("b").alias("k2"), d.cast("bigint").alias("dist")).where(F.col("dist") <= threshold)
     k = int(threshold)
+    dealt = keys.repartition(tasks(keys.sparkSession), "k")  # few keys may share segments with all others
+    a, b = dealt.select(F.col("k").alias("a")), dealt.select(F.col("k").alias("b"))
     la, lb = F.length("a"), F.length("b")
     own = [F.struct(la.alias("len"), F.lit(s).alias("seg"), F.substring(F.col("a"), start, size).alias("part")) for s, (start, size) in enumerate(_segments(la, k))]
     short = F.array(F.struct(la.alias("len"), F.lit(-1).alias("seg"), F.lit("").alias("part")))

@@ -78,7 +78,8 @@ def meeting(rows: DataFrame, left: Iterable[Atom], kinds: Mapping[str, str]) ->
     if plan == FUZZY:
         k = f"k_{at.attr}"
         near = neighbours(rows.select(F.col(f"`{k}`").alias("k")).where("k is not null").distinct(), kinds[at.attr], at.threshold).select("k1", "k2")
-        near = near.union(near.where("k1 != k2").select("k2", "k1"))
+        either = F.array_distinct(F.array(F.struct("k1", "k2"), F.struct(F.col("k2").alias("k1"), F.col("k1").alias("k2"))))
+        near = near.select(F.explode(either).alias("n")).select("n.*")
         rest = reduce(Column.__and__, [_within(a, kinds) for a in left if a.near and a != at] or [F.lit(True)])
         met = _side(rows, "l").join(near, F.col(f"`l{k}`") == F.col("k1")).drop("k1")
         return met.join(_side(rows, "r"), F.col("k2") == F.col(f"`r{k}`")).drop("k2").where(scope & rest)
@@ -98,8 +99,9 @@ def in_violation(rows: DataFrame, dd: Dependency, kinds: Mapping[str, str]) -> D
 def spelt_out(rows: DataFrame, meet: Callable[[DataFrame], DataFrame], *kept: str) -> DataFrame:
     """The columns kept, i and j: all pairs of rows that meet, a function of blocks, pairs up."""
     columns = [*kept, "lid", "rid", "lids", "rids"]
-    small = meet(rows).where(F.least(F.size("lids"), F.size("rids")) < LARGE).select(*columns)
-    large = meet(rows.where(F.size("ids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession), "lid", "rid")
+    met = meet(rows)  # the same for both, so that neighbouring values are found once; large blocks are chosen before the join all the same
+    small = met.where(F.least(F.size("lids"), F.size("rids")) < LARGE).select(*columns)
+    large = met.where((F.size("lids") >= LARGE) & (F.size("rids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession), "lid", "rid")
 
     def pairs(met: DataFrame) -> DataFrame:
         one = met.select(*kept, (F.col("lid") == F.col("rid")).alias("itself"), F.explode("lids").alias("a"), "rids")
