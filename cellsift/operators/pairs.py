@@ -21,9 +21,11 @@ from cellsift.plans.constraints import Atom, Dependency, threshold_index
 from cellsift.plans.strategy import EMPTY, EQUALITY, FUZZY, choose, tasks
 from cellsift.sources.tables import IDX
 
-#: Rows whose _idx falls into one span may share a block, of at most SIZE rows; two blocks of LARGE rows or more are dealt out.
-# A task holds the pairs of two blocks at once, so SIZE bounds its memory; 256 was also faster than 1024. LARGE is low, as a delta has
-# few rows of each key; at 16, those with all of their base's rows were one task's work.
+#: Rows are dealt to lots of about SPAN by a hash of _idx; those of a lot may share a block, of at most SIZE rows; two blocks of LARGE
+#: rows or more are dealt out.
+# Lots follow from the number of rows: by ranges of _idx, rows of keys that lie far apart had a block each. A task holds the pairs of two
+# blocks at once, so SIZE bounds its memory; 256 was also faster than 1024. LARGE is low, as a delta has few rows of each key; at 16, those
+# with all of their base's rows were one task's work.
 SPAN, SIZE, LARGE = 1 << 20, 256, 4
 
 
@@ -40,8 +42,8 @@ def is_new(n_old: int | None) -> Column:
 def blocks(rows: DataFrame, n_old: int | None = None) -> DataFrame:
     """The keys, `new`, `ids` and `id`, the least of them: rows of equal keys, all of a delta or all of its base."""
     names = [f"`{c}`" for c in rows.columns if c != IDX]
-    span = F.floor(F.col(IDX) / SPAN)
-    per = rows.groupBy(*names, is_new(n_old).alias("new"), span.alias("span")).agg(F.sort_array(F.collect_list(IDX)).alias("ids"))
+    dealt = rows.withColumn("lot", F.pmod(F.xxhash64(IDX), F.lit(rows.count() // SPAN + 1)))
+    per = dealt.groupBy(*names, is_new(n_old).alias("new"), "lot").agg(F.sort_array(F.collect_list(IDX)).alias("ids"))
     parts = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(SIZE)), lambda at: F.slice("ids", at, SIZE))
     return per.select(*names, "new", F.explode(parts).alias("ids")).withColumn("id", F.element_at("ids", 1))
 
