@@ -23,9 +23,9 @@ from cellsift.sources.tables import IDX
 
 #: Rows are dealt to lots of about SPAN by a hash of _idx; those of a lot may share a block, of at most SIZE rows; two blocks of LARGE
 #: rows or more are dealt out.
-# Lots follow from the number of rows: by ranges of _idx, rows of keys that lie far apart had a block each. A task holds the pairs of two
-# blocks at once, so SIZE bounds its memory; 256 was also faster than 1024. LARGE is low, as a delta has few rows of each key; at 16, those
-# with all of their base's rows were one task's work.
+# Lots follow from the number of rows: by ranges of _idx, rows of keys that lie far apart had a block each. A task holds a
+# block's rows, each with the other block's ids, at once, so SIZE bounds its memory. LARGE is low, as a delta has few rows of each key; at
+# 16, those with all of their base's rows were one task's work.
 SPAN, SIZE, LARGE = 1 << 20, 256, 4
 
 
@@ -105,12 +105,12 @@ def spelt_out(rows: DataFrame, meet: Callable[[DataFrame], DataFrame], *kept: st
     small = met.where(F.least(F.size("lids"), F.size("rids")) < LARGE).select(*columns)
     large = met.where((F.size("lids") >= LARGE) & (F.size("rids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession), "lid", "rid")
 
-    def pairs(met: DataFrame) -> DataFrame:
-        one = met.select(*kept, (F.col("lid") == F.col("rid")).alias("itself"), F.explode("lids").alias("a"), "rids")
-        both = one.select(*kept, "itself", "a", F.explode("rids").alias("b")).where(~F.col("itself") | (F.col("a") < F.col("b")))
-        return both.select(*kept, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    def one(met: DataFrame) -> DataFrame:
+        return met.select(*kept, (F.col("lid") == F.col("rid")).alias("itself"), F.explode("lids").alias("a"), "rids")
 
-    return pairs(small).union(pairs(large))
+    # Spark holds all that a row becomes in one chain of operators; the union between both steps makes that a row's partners, not two blocks' pairs
+    both = one(small).union(one(large)).select(*kept, "itself", "a", F.explode("rids").alias("b")).where(~F.col("itself") | (F.col("a") < F.col("b")))
+    return both.select(*kept, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
 
 def violating_pairs(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], n_old: int | None = None) -> DataFrame:
