@@ -39,10 +39,11 @@ def is_new(n_old: int | None) -> Column:
     return F.lit(True) if n_old is None else F.col(IDX) >= n_old
 
 
-def blocks(rows: DataFrame, n_old: int | None = None) -> DataFrame:
-    """The keys, `new`, `ids` and `id`, the least of them: rows of equal keys, all of a delta or all of its base."""
+def blocks(rows: DataFrame, n_old: int | None = None, n: int | None = None) -> DataFrame:
+    """The keys, `new`, `ids` and `id`, the least of them: rows of equal keys, all of a delta or all of its base. n: how many rows, counted if not given."""
+    n = rows.count() if n is None else n
     names = [f"`{c}`" for c in rows.columns if c != IDX]
-    dealt = rows.withColumn("lot", F.pmod(F.xxhash64(IDX), F.lit(rows.count() // SPAN + 1)))
+    dealt = rows.withColumn("lot", F.pmod(F.xxhash64(IDX), F.lit(n // SPAN + 1)))
     per = dealt.groupBy(*names, is_new(n_old).alias("new"), "lot").agg(F.sort_array(F.collect_list(IDX)).alias("ids"))
     parts = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(SIZE)), lambda at: F.slice("ids", at, SIZE))
     return per.select(*names, "new", F.explode(parts).alias("ids")).withColumn("id", F.element_at("ids", 1))
@@ -98,12 +99,12 @@ def in_violation(rows: DataFrame, dd: Dependency, kinds: Mapping[str, str]) -> D
     return met.where(~bad if dd.right.near else bad)
 
 
-def spelt_out(rows: DataFrame, meet: Callable[[DataFrame], DataFrame], *kept: str) -> DataFrame:
+def spelt_out(rows: DataFrame, n_old: int | None, meet: Callable[[DataFrame], DataFrame], *kept: str) -> DataFrame:
     """The columns kept, i and j: all pairs of rows that meet, a function of blocks, pairs up."""
-    columns = [*kept, "lid", "rid", "lids", "rids"]
-    met = meet(rows)  # the same for both, so that neighbouring values are found once; large blocks are chosen before the join all the same
+    columns, n = [*kept, "lid", "rid", "lids", "rids"], rows.count()
+    met = meet(blocks(rows, n_old, n))  # the same for both, so that neighbouring values are found once; large blocks are chosen before the join all the same
     small = met.where(F.least(F.size("lids"), F.size("rids")) < LARGE).select(*columns)
-    large = met.where((F.size("lids") >= LARGE) & (F.size("rids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession), "lid", "rid")
+    large = met.where((F.size("lids") >= LARGE) & (F.size("rids") >= LARGE)).select(*columns).repartition(tasks(rows.sparkSession, n), "lid", "rid")
 
     def one(met: DataFrame) -> DataFrame:
         return met.select(*kept, (F.col("lid") == F.col("rid")).alias("itself"), F.explode("lids").alias("a"), "rids")
@@ -115,7 +116,7 @@ def spelt_out(rows: DataFrame, meet: Callable[[DataFrame], DataFrame], *kept: st
 
 def violating_pairs(df: DataFrame, dd: Dependency, kinds: Mapping[str, str], n_old: int | None = None) -> DataFrame:
     """i, j of the pairs that violate one dependency."""
-    return spelt_out(blocks(keyed(df, [*dd.left, dd.right], kinds), n_old), lambda rows: in_violation(rows, dd, kinds))
+    return spelt_out(keyed(df, [*dd.left, dd.right], kinds), n_old, lambda met: in_violation(met, dd, kinds))
 
 
 def violations(df: DataFrame, dds: Iterable[Dependency], kinds: Mapping[str, str], n_old: int | None = None) -> DataFrame:
@@ -142,7 +143,7 @@ def clusters(df: DataFrame, dds: Iterable[Dependency], kinds: Mapping[str, str],
     parts = []
     for attr, thresholds in threshold_index(dds).items():
         atom = Atom(attr, "<=", thresholds[0])
-        met = spelt_out(blocks(keyed(df, [atom], kinds), n_old), _near(atom, thresholds, kinds), "threshold")
+        met = spelt_out(keyed(df, [atom], kinds), n_old, _near(atom, thresholds, kinds), "threshold")
         parts.append(met.select(F.lit(attr).alias("attr"), "threshold", "i", "j"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -29,6 +29,12 @@ def groups_suffice(dd: Dependency) -> bool:
     return bool(dd.left) and all(a.near and a.equality for a in dd.left) and dd.right.equality
 
 
-def tasks(spark: SparkSession) -> int:
-    """Among how many tasks work is dealt whose input is small and whose output isn't."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+#: Where pairs of that many rows are spelt out, a task more; never more than MOST for each core.
+ROWS, MOST = 10_000, 16
+
+
+def tasks(spark: SparkSession, rows: int = 0) -> int:
+    """Among how many tasks work is dealt whose input is small and whose output isn't: all pairs of that many rows, if given. As pairs grow
+    faster than rows, few tasks would be long ones, and cores would be idle while the last of them end."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores, min(MOST * cores, rows // ROWS))
